@@ -28,7 +28,7 @@ CAPACITY = 1024
 END_ID = 2
 #: Most rounds of multiplicative weights, how fast weights fall with coverage, and the largest share of a length's count
 #: that one round may cover.
-ROUNDS, STEP, SHARE = 2000, 0.5, 0.25
+ROUNDS, STEP, SHARE = 2000, 0.1, 0.03
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

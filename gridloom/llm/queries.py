@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, lengths, packing, shards, simhash
+from . import chat, decontam, imatch, langid, lengths, lines, packing, pii, shards, simhash
 from .common import documents
 
+#: Key of the pseudonyms in these queries; a deployment passes its own.
+PII_KEY = "example-key"
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -20,6 +22,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_records(records))
 
 
+def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, sf_dir, "doc_id", "text"), PII_KEY)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -32,6 +38,14 @@ def op4_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.place(documents(spark, sf_dir, "doc_id", "source"), "doc_id").select("doc_id", "source", "slot", "shard")
 
 
+def op5_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_likeness(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicate(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_lines", "n_kept", "text")
+
+
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -41,11 +55,22 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.limit_table(lengths.length_histogram(lengths.encoded_lengths(documents(spark, sf_dir, "text"))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op3_language_id, op4_shard_lookup, op7_simhash_golay, op8_best_fit_packing, op10_token_counts)
+    f.__name__: f
+    for f in (
+        op1_chat_formatting, op2_feistel_pseudonyms, op3_language_id, op4_shard_lookup, op5_imatch_fingerprints,
+        op6_fuzzy_lines, op7_simhash_golay, op8_best_fit_packing, op9_benchmark_decontamination, op10_token_counts,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}

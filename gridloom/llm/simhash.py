@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_side, written
 from .components import connected_components
 
 #: Generator polynomial of the binary Golay code, its length and its check bits.
@@ -173,10 +173,10 @@ def hex16(column) -> F.Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row for each near-duplicate group: the first row of its smallest id. Rows without id stay.
+    """``docs`` with one document of each near-duplicate group, that of the smallest id; blank texts are a group too.
 
-    Blank documents have nothing to compare and stay too.
+    Rows without id cannot be named and stay; rows repeating the kept id are that document and stay with it.
     """
-    groups = near_duplicates(docs.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"[^\x20\x09-\x0D]")), id_col, text_col)
+    groups = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
     gone = written(groups.where("id <> component_id").select(F.col("id").alias(id_col)).distinct(), "gone")
-    return docs.join(gone, id_col, "left_anti")
+    return docs.join(small_side(gone), id_col, "left_anti")
