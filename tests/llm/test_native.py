@@ -66,18 +66,6 @@ def test_contamination_edges(spark, monkeypatch):
     assert {r.doc_id for r in left.collect()} == {1, 2, 5, 7}
 
 
-def test_lines_keep_one_of_each_group(spark):
-    base = "the quick brown fox jumps over the lazy dog near the old river bank while seven small birds sing in the tall green tree"
-    near = base.replace("lazy", "lasy")
-    other = "completely different words make up this line so that nothing here is shared with any line above or below it today"
-    rows = [(1, f"{base}\nunique one\n\n{base}"), (2, f"{near}\n{other}"), (3, f"  {other.upper()}!!\n---\nOnly here"), (4, None), (5, ""), (None, base), (6, base), (6, base)]
-    out = lines.deduplicate(docs_of(spark, rows).selectExpr("*", "'s' as line", "7 as n_kept")).collect()
-    got = sorted([(str(r.doc_id), r.text, r.n_lines, r.n_kept) for r in out], key=str)
-    want = [("1", f"{base}\nunique one\n", 4, 3), ("2", other, 2, 1), ("3", "---\nOnly here", 3, 2), ("4", None, 0, 0), ("5", "", 1, 1), ("6", "", 1, 0), ("6", "", 1, 0), ("None", base, 1, 1)]
-    assert got == sorted(want, key=str)
-    assert lines.deduplicate(docs_of(spark, [])).collect() == []
-
-
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -99,6 +87,24 @@ def simhash_of(words):
     return sum(1 << i for i in range(64) if votes[i] * 2 > len(words))
 
 
+def linked(a, b):
+    x, y = simhash_of(a.split(" ")), simhash_of(b.split(" "))
+    blocks = sum((x ^ y) >> at & ((1 << width) - 1) == 0 for at, width in lines.BLOCKS)
+    return blocks >= 2 and (x ^ y).bit_count() <= 8 and levenshtein(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)
+
+
+def test_lines_keep_one_of_each_group(spark):
+    base = "the quick brown fox jumps over the lazy dog near the old river bank while seven small birds sing in the tall green tree"
+    near = next(n for a, b in (("lazy", "lasy"), ("seven", "sevan"), ("river", "rivers"), ("small", "smal"), ("tall", "tal"), ("bank", "banks"), ("quick", "quik")) if linked(base, n := base.replace(a, b)))
+    other = "completely different words make up this line so that nothing here is shared with any line above or below it today"
+    rows = [(1, f"{base}\nunique one\n\n{base}"), (2, f"{near}\n{other}"), (3, f"  {other.upper()}!!\n---\nOnly here"), (4, None), (5, ""), (None, base), (6, base), (6, base)]
+    out = lines.deduplicate(docs_of(spark, rows).selectExpr("*", "'s' as line", "7 as n_kept")).collect()
+    got = sorted([(str(r.doc_id), r.text, r.n_lines, r.n_kept) for r in out], key=str)
+    want = [("1", f"{base}\nunique one\n", 4, 3), ("2", other, 2, 1), ("3", "---\nOnly here", 3, 2), ("4", None, 0, 0), ("5", "", 1, 1), ("6", "", 1, 0), ("6", "", 1, 0), ("None", base, 1, 1)]
+    assert got == sorted(want, key=str)
+    assert lines.deduplicate(docs_of(spark, [])).collect() == []
+
+
 def test_line_groups_equal_brute_force(spark):
     import random
 
@@ -127,8 +133,7 @@ def test_line_groups_equal_brute_force(spark):
 
     for i, a in enumerate(unique):
         for b in unique[i + 1 :]:
-            longest = max(len(a), len(b))
-            if (fps[a] ^ fps[b]).bit_count() <= 3 and levenshtein(a, b) <= int(longest * 0.2 + 1e-9):
+            if linked(a, b):
                 parent[find(a)] = find(b)
     best = {}
     for doc, pos, line in flat:
