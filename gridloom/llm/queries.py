@@ -73,4 +73,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_fuzzy_lines, op7_simhash_golay, op8_best_fit_packing, op9_benchmark_decontamination, op10_token_counts,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+_PRINTS = {name: chat.schema_fingerprint(paths) for name, paths in (("messages", ["messages[].role", "messages[].content"]), ("prompt_response", ["prompt", "response"]))}
+
+#: Hashes of other kinds, tokenizers and models are not stated in SQL; those queries are tested against plain Python.
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_formatting": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '{CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}')
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+      sum(length('<|im_start|>') + length(role) + 1 + length(regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars,
+      CASE WHEN conv_id = -1 THEN '{_PRINTS["prompt_response"]}' ELSE '{_PRINTS["messages"]}' END AS schema_hash, CASE WHEN conv_id = -1 THEN 'prompt_response' ELSE 'messages' END AS mapping
+    FROM t GROUP BY conv_id""",
+    "op9_benchmark_decontamination": r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    g AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 12), ' ') AS g, len(list_slice(w, i, i + 12)) AS n FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS i FROM b WHERE len(w) > 0)),
+    p AS (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n),
+    h AS (SELECT DISTINCT doc_id, i, p.n, item_id FROM p JOIN g ON g.n = p.n AND g.g = array_to_string(list_slice(w, i, i + p.n - 1), ' ')),
+    c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS k FROM h) GROUP BY 1),
+    m AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)""",
+}
