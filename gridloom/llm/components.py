@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     repeated links count once, an empty table gives an empty result.
     """
     pairs = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst")
-    both = written(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = written(pairs.select(F.inline(ways)).distinct(), "edges")
     labels = written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("label")), "labels")
     for _ in range(max_rounds):
         near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("label").alias("near"))
