@@ -86,3 +86,24 @@ def daily(segments: DataFrame, key: str, value: Column, error: str) -> DataFrame
     """A row for each whole day inside each segment, with the model's value and band of error."""
     rows = segments.withColumn("t", F.explode(F.sequence(F.ceil("t_start"), F.floor("t_end"))))
     return rows.select(key, "t", value.alias("value"), (value - F.col(error)).alias("low"), (value + F.col(error)).alias("high"))
+
+
+def value_at(segments: DataFrame, dates: DataFrame, key: str, slope: str, offset: str, most_days: float | None = None) -> DataFrame:
+    """``value`` of a line offset + slope * t at each (key, t), with gaps filled.
+
+    Inside a segment its own line; between two, the straight line from the end of one to the start of the next; before
+    the first and after the last its line, held at its end (no further than ``most_days`` away, if given).
+    """
+    columns = ["t_start", "t_end", slope, offset]
+    at = dates.select(key, "t").distinct()
+    parts = {how: lookup(segments, at, key, how, columns).select(key, "t", *(F.col(c).alias(f"{how}_{c}") for c in columns)) for how in ("previous", "next")}
+    rows = parts["previous"].join(parts["next"], [key, "t"])
+    t = F.col("t")
+    line = lambda how, x: F.col(f"{how}_{offset}") + F.col(f"{how}_{slope}") * x
+    end, start = F.col("previous_t_end"), F.col("next_t_start")
+    inside = F.col("previous_t_end") >= t
+    share = (t - end) / F.nullif(start - end, F.lit(0.0))
+    between = line("previous", end) + share * (line("next", start) - line("previous", end))
+    near = F.lit(True) if most_days is None else F.coalesce(t - end, start - t) <= most_days
+    held = F.when(near, F.coalesce(line("previous", end), line("next", start)))
+    return rows.select(key, "t", F.when(inside, line("previous", t)).when(end.isNotNull() & start.isNotNull() & (start > t), between).otherwise(held).alias("value"))

@@ -60,3 +60,14 @@ def normalize(df: DataFrame, bands: Sequence[str]) -> DataFrame:
         lo, hi = F.col(f"_lo_{b}"), F.col(f"_hi_{b}")
         new[b] = F.when(hi > lo, (F.col(b) - lo) / F.nullif(hi - lo, F.lit(0.0))).otherwise(F.col(b) / F.nullif(hi, F.lit(0.0)))
     return wide.withColumns(new).select(*df.columns)
+
+
+def stretch(histogram: DataFrame, bucket: str, count: str, percent: float) -> DataFrame:
+    """The last buckets from each side whose tails hold less than a share of all: ends of a display stretch (one row)."""
+    up = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.orderBy(F.desc(bucket)).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum(count).over(Window.partitionBy())
+    rows = histogram.withColumns({"_low": F.sum(count).over(up) / total, "_high": F.sum(count).over(down) / total})
+    share = percent / 100
+    low, high = F.max(F.when(F.col("_low") < share, F.col(bucket))), F.min(F.when(F.col("_high") < share, F.col(bucket)))
+    return rows.agg(F.coalesce(low, F.min(bucket)).alias("low"), F.coalesce(high, F.max(bucket)).alias("high"))

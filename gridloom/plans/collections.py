@@ -240,3 +240,38 @@ def stack(spark, d):
     a = C.composite(o.where("l_returnflag = 'R'"), ["pixel"], ["q"], "MEAN")
     b = C.composite(o.where("l_returnflag = 'N'"), ["pixel"], ["t"], "MEAN")
     return a.join(b, "pixel", "full").select("pixel", F.round("q", 6).alias("band_1"), F.round("t", 6).alias("band_2"))
+
+
+@query(
+    """WITH h AS (SELECT cast(floor(l_extendedprice/1000) AS BIGINT) AS b, count(*) AS n FROM lineitem GROUP BY 1), c AS (SELECT b, sum(n) OVER (ORDER BY b) / sum(n) OVER () AS lo, sum(n) OVER (ORDER BY b DESC) / sum(n) OVER () AS hi FROM h)
+    SELECT coalesce(max(b) FILTER (WHERE lo < 0.02), min(b)) AS low, coalesce(min(b) FILTER (WHERE hi < 0.02), max(b)) AS high FROM c"""
+)
+def histogram_stretch(spark, d):
+    h = table(spark, d, "lineitem").groupBy(F.floor(F.col("l_extendedprice") / 1000).alias("bucket")).agg(F.count("*").alias("n"))
+    return zonal.stretch(h, "bucket", "n", 2)
+
+
+@query(
+    """WITH y AS (SELECT l_suppkey AS pixel, year(l_shipdate) AS y, median(l_quantity) AS m FROM lineitem WHERE year(l_shipdate) IN (1996,1997,1998,1999,2000) GROUP BY 1,2)
+    SELECT pixel, coalesce(max(m) FILTER (WHERE y=1998), max(m) FILTER (WHERE y=1999), max(m) FILTER (WHERE y=1997), max(m) FILTER (WHERE y=2000), max(m) FILTER (WHERE y=1996)) AS q FROM y GROUP BY 1"""
+)
+def reference_composite(spark, d):
+    """Median of the target year, or of the nearest year that has any; earlier years last of equally near ones."""
+    o = observations(spark, d).withColumn("y", F.year("ts")).where(F.col("y").between(1996, 2000))
+    years = o.groupBy("pixel", "y").agg(F.median("q").alias("m"))
+    first = F.min_by("m", F.struct(F.abs(F.col("y") - 1998), -F.col("y")))
+    return years.groupBy("pixel").agg(first.alias("q"))
+
+
+@query(
+    """WITH o AS (SELECT l_suppkey AS pixel, l_quantity AS q, l_extendedprice AS p FROM lineitem WHERE least(greatest((l_discount - 0)/(0.1 - 0),0),1) <= 0.5), m AS (SELECT pixel, median(p) AS b FROM o GROUP BY 1)
+    SELECT pixel, median(q) AS q, count(*) AS n FROM o JOIN m USING (pixel) WHERE (b - p)/nullif(b + p,0) <= 0.4 GROUP BY 1"""
+)
+def planet_mosaic(spark, d):
+    """Median of clear, unshaded observations: clouds by a scaled score, shadows by brightness against the median."""
+    from ..functions import indexes
+
+    o = observations(spark, d).where(indexes.scaled(F.col("disc"), 0.0, 0.1) <= 0.5)
+    medians = o.groupBy("pixel").agg(F.median("p").alias("b"))
+    clear = o.join(medians, "pixel").where(indexes.normalized(F.col("b"), F.col("p")) <= 0.4)
+    return clear.groupBy("pixel").agg(F.median("q").alias("q"), F.count("*").alias("n"))

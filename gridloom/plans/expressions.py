@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bits, hashing, indexes, masks
+from ..operators import fitting
 from ..registry import query, table
 
 _B = "SELECT vec_id, " + ", ".join(f"0.3 + 0.2 * embedding[{i + 1}]::DOUBLE AS {b}" for i, b in enumerate((*indexes.BANDS, "thermal"))) + " FROM embeddings"
@@ -129,3 +130,8 @@ def radar_time_scan(spark, d):
     cv = lambda c: 10 * F.log10(F.stddev_pop(c) / natural(c))
     s = li.agg(F.min("l_quantity").alias("vv_min"), F.max("l_quantity").alias("vv_max"), (F.median("l_quantity") - F.median("l_tax")).alias("ratio"), cv("l_quantity").alias("v"), cv("l_tax").alias("h"))
     return s.select("pixel", "vv_min", "vv_max", F.round("ratio", 6).alias("ratio"), F.round("v", 5).alias("vv_cv"), F.round("h", 5).alias("vh_cv"), F.round(masks.ratio(F.col("v") - F.col("h"), F.col("v") + F.col("h")), 6).alias("ndcv"))
+
+
+@query()
+def index_ndfi(spark, d):
+    return fitting.degradation_index(pixels(spark, d)).select("vec_id", "ndfi")

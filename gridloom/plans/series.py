@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, harmonics
+from ..operators import fitting
 from ..operators import phenology as P
 from ..operators import segments as S
 from ..registry import query, table
@@ -162,3 +163,21 @@ def point_observations(spark, d):
 def time_series_export_pivot(spark, d):
     li = table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "pixel")
     return li.groupBy("pixel").pivot("l_returnflag", ["A", "N", "R"]).agg(F.round(F.median("l_quantity"), 4))
+
+
+@query(
+    f"""WITH {_SEG}, q AS (SELECT pixel, t FROM (SELECT DISTINCT pixel FROM s), (VALUES (900.0::DOUBLE), (1500.0::DOUBLE), (2900.0::DOUBLE)) v(t)), j AS (SELECT q.pixel, t, t_start, t_end, coefs[2] AS b, coefs[1] AS a FROM q JOIN s USING (pixel)),
+    p AS (SELECT pixel, t, max_by(struct_pack(e := t_end, s := t_start, a := a, b := b), t_start) FILTER (WHERE t_start <= t) AS p, min_by(struct_pack(e := t_end, s := t_start, a := a, b := b), t_start) FILTER (WHERE t_end > t) AS n FROM j GROUP BY 1, 2)
+    SELECT pixel, t, round(CASE WHEN p.e >= t THEN p.a + p.b*t WHEN p.e IS NOT NULL AND n.s > t THEN p.a+p.b*p.e + (t-p.e)/nullif(n.s-p.e,0)*(n.a+n.b*n.s - (p.a+p.b*p.e))
+      WHEN coalesce(t - p.e, n.s - t) <= 400 THEN coalesce(p.a+p.b*p.e, n.a+n.b*n.s) END, 7) AS value FROM p"""
+)
+def segment_interpolation(spark, d):
+    seg = segments(spark, d).select("pixel", "t_start", "t_end", F.col("coefs")[1].alias("slope"), F.col("coefs")[0].alias("offset"))
+    at = seg.select("pixel").distinct().select("pixel", F.explode(F.array(F.lit(900.0), F.lit(1500.0), F.lit(2900.0))).alias("t"))
+    return S.value_at(seg, at, "pixel", "slope", "offset", 400.0).withColumn("value", F.round("value", 7))
+
+
+@query()
+def radar_harmonics(spark, d):
+    li = table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "pixel")
+    return fitting.harmonic_regression(li, "pixel", dates.fractional_year(F.col("l_shipdate")) - 1970, "l_quantity")

@@ -155,4 +155,39 @@ def test_sources(spark, tmp_path):
     tables.export_tiles(df, f"{tmp_path}/tiles", "id")
     assert spark.read.parquet(f"{tmp_path}/tiles").count() == 3
     tables.export_csv(df.select("id", F.struct("name").alias("s")), f"{tmp_path}/out")
-    assert spark.read.option("header", "true").option("escape", '"').csv(f"{tmp_path}/out").where("s = '{\"name\":\"a\"}'").count() == 1
+    assert spark.read.option("header", "true").csv(f"{tmp_path}/out").where("s = '{\"name\":\"a\"}'").count() == 1
+
+
+def test_harmonic_regression(spark):
+    import numpy as np
+
+    from gridloom.operators import fitting
+
+    rng = np.random.default_rng(1)
+    t = rng.uniform(0, 3, 60)
+    y = 2 + 0.5 * t + 1.5 * np.cos(2 * np.pi * t) - 0.7 * np.sin(2 * np.pi * t)
+    df = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(t, y)] + [(2, 0.5, 3.0)], "pixel int, t double, y double")
+    got = {r.pixel: r for r in fitting.harmonic_regression(df, "pixel", F.col("t"), "y").collect()}
+    assert [got[1][n] for n in fitting.NAMES] == pytest.approx([2, 0.5, 1.5, -0.7], abs=1e-6)
+    assert got[1].amplitude == pytest.approx(math.hypot(1.5, 0.7)) and got[1].rmse < 1e-5 and got[2].rmse == pytest.approx(0, abs=1e-6)
+
+
+def test_unmixing(spark):
+    import numpy as np
+
+    from gridloom.functions import indexes
+    from gridloom.operators import fitting
+
+    ends = np.array(list(indexes.ENDMEMBERS.values()))
+    rng = np.random.default_rng(2)
+    true = rng.dirichlet(np.ones(5), 50)
+    assert np.abs(fitting.unmix(true @ ends, ends) - true).max() < 1e-6
+    wild = rng.uniform(-1, 2, (200, 6))
+    found = fitting.unmix(wild, ends)
+    assert (found >= 0).all() and np.abs(found.sum(1) - 1).max() < 1e-6
+    error = ((found @ ends - wild) ** 2).sum(1)
+    other = rng.dirichlet(np.ones(5), 3000)
+    assert all(error[i] <= ((other @ ends - wild[i]) ** 2).sum(1).min() + 1e-9 for i in range(200))
+    df = spark.createDataFrame([(1, *map(float, true[0] @ ends)), (2, None, 0.1, 0.1, 0.1, 0.1, 0.1)], "id int, " + ", ".join(f"{b} double" for b in indexes.BANDS))
+    got = {r.id: r.ndfi for r in fitting.degradation_index(df).collect()}
+    assert got[2] is None and -1 <= got[1] <= 1
