@@ -90,7 +90,8 @@ def simhash_of(words):
 def linked(a, b):
     x, y = simhash_of(a.split(" ")), simhash_of(b.split(" "))
     blocks = sum((x ^ y) >> at & ((1 << width) - 1) == 0 for at, width in lines.BLOCKS)
-    return blocks >= 2 and (x ^ y).bit_count() <= 4 and levenshtein(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)
+    p, q = set(a.split(" ")), set(b.split(" "))
+    return blocks >= 2 and 2 * len(p & q) >= len(p | q) and (x ^ y).bit_count() <= 4 and levenshtein(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)
 
 
 def test_lines_keep_one_of_each_group(spark):
