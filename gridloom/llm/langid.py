@@ -86,6 +86,22 @@ class Model:
                 names[i], values[i] = self.languages[k], min(max((v + 1) / 2, 0.0), 1.0)
         return names, values
 
+    def evidence(self, texts: list[str | None], tables: list[np.ndarray], batch: int = 256) -> list[tuple[int, float, float]]:
+        """Of each text: its distinct 3-grams, their share that landmarks hold, and the best score less the second.
+
+        The margin is infinite with fewer than two languages. Null or without a letter: nothing, 0 and 0.
+        """
+        out = [(0, 0.0, 0.0)] * len(texts)
+        at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
+        for start in range(0, len(at), batch):
+            part = at[start : start + batch]
+            s = np.sort(self.scores([texts[i] for i in part], tables), axis=1)
+            margins = s[:, -1] - s[:, -2] if s.shape[1] > 1 else np.full(len(part), np.inf)
+            for i, margin in zip(part, margins.tolist(), strict=True):
+                three = np.unique(np.concatenate([np.unique(c[2]) for c in grams(texts[i])]))
+                out[i] = (len(three), float((tables[2][three] > 0).mean()) if len(three) else 0.0, margin)
+        return out
+
 
 def fit(sample: pd.DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """``sample``: text, lang. Landmarks are the first texts of each language in the order given."""
@@ -150,3 +166,19 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", name_col: str
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     return kept.mapInArrow(run, f"{fields}, `{name_col}` string, `{score_col}` double")
+
+
+def recognised(docs: DataFrame, model: Model, known: float, margin: float, enough: int, text_col: str = "text") -> DataFrame:
+    """``docs`` in a language of the model, by evidence: at least the share ``known`` of a text's distinct 3-grams is in
+    landmarks, and where there are ``enough`` of them, the best language leads the second by ``margin``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+    ready: dict[int, list[np.ndarray]] = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = ready.setdefault(0, sent.value.tables())
+        for b in batches:
+            found = sent.value.evidence(b.column(at).to_pylist(), tables)
+            yield b.filter(pa.array([n > 0 and share >= known and (n < enough or lead >= margin) for n, share, lead in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
