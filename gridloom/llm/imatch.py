@@ -21,8 +21,8 @@ DIGITS = 4
 EMPTY = "-" * DIGITS
 #: A level counts if the two documents have terms in this many of its subsets.
 LEAST = 4
-#: Texts of at most this many distinct terms use all of them: too few lie in the band.
-SHORT = 20
+#: A text with fewer terms in the band than this is given others of its own up to this many, by the order of their hashes.
+FEWEST = 20
 
 
 def terms_of(text: F.Column) -> F.Column:
@@ -54,15 +54,32 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return near.join(F.broadcast(ends), "part").select("id", F.coalesce("next_id", "below").alias("next_id"))
 
 
-def subset_rows(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows ``(id, kind, short, h, note)`` to a row for each subset that a term belongs to; notes keep subset -1."""
+def chosen_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Rows ``(id, kind, h, note)`` to ``(id, kind, chosen, note)``: the terms of each text that are hashed.
+
+    These are its terms in the band, and where they are fewer than FEWEST, those of its others that come first in the
+    order of a hash: one rule at every length, under which texts alike choose alike. Only a text without terms has none.
+    """
     known = small_side(terms.withColumn("known", F.lit(True)))
+    inside, given = F.col("known").isNotNull(), F.col("h").isNotNull()
+    order = F.struct(F.xxhash64("h", F.lit(11)).alias("order"), "h")
+    whole = rows.join(known, "h", "left").groupBy("id", "kind").agg(
+        F.collect_list(F.when(inside, F.col("h"))).alias("band"), F.collect_list(F.when(given & ~inside, order)).alias("rest"), F.max("note").alias("note")
+    )
+    more = F.slice(F.sort_array("rest"), F.lit(1), F.greatest(F.lit(FEWEST) - F.size("band"), F.lit(0)))
+    return whole.select("id", "kind", F.concat("band", F.transform(more, lambda x: x["h"])).alias("chosen"), "note")
+
+
+def subset_rows(rows: DataFrame) -> DataFrame:
+    """Rows ``(id, kind, chosen, note)`` to a row for each subset that a term belongs to; notes keep subset -1."""
+    rows = rows.select("id", "kind", "note", F.posexplode_outer("chosen").alias("at", "h"))
+    rows = rows.select("id", "kind", "h", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("note")).alias("note"))
     draw = F.xxhash64("h", F.lit(7))
     zeros = F.bit_count(draw.bitwiseAND(F.negate(draw)) - 1)
-    levels = F.when(F.col("known") | F.col("short"), F.least(F.floor(zeros / 2).cast("int") + 1, F.lit(LEVELS))).otherwise(0)
+    levels = F.when(F.col("h").isNotNull(), F.least(F.floor(zeros / 2).cast("int") + 1, F.lit(LEVELS))).otherwise(0)
     first = F.when(F.col("note").isNotNull(), -1).otherwise(0)
     subset = F.pmod(F.shiftrightunsigned(draw, 40), F.lit(SUBSETS)).cast("int")
-    rows = rows.join(known, "h", "left").select("id", "kind", "h", "note", first.alias("first"), (levels - 1).alias("last"), subset.alias("part"))
+    rows = rows.select("id", "kind", "h", "note", first.alias("first"), (levels - 1).alias("last"), subset.alias("part"))
     rows = rows.where("last >= first").select("id", "kind", "h", "note", "part", F.explode(F.sequence("first", "last")).alias("level"))
     inside = F.col("level") >= 0
     return rows.select(
@@ -77,10 +94,10 @@ def fingerprints(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """
     terms_in = terms_of(F.col("text"))
     rows = texts.select("id", "kind", "note", terms_in.alias("terms"))
-    rows = rows.select("id", "kind", "note", (F.size("terms") <= SHORT).alias("short"), F.posexplode_outer("terms").alias("at", "term"))
+    rows = rows.select("id", "kind", "note", F.posexplode_outer("terms").alias("at", "term"))
     note = F.when(F.coalesce("at", F.lit(0)) == 0, F.col("note"))
-    rows = rows.select("id", "kind", "short", F.when(F.col("term").isNotNull(), F.xxhash64("term")).alias("h"), note.alias("note"))
-    parts = subset_rows(rows, terms).groupBy("id", "kind", "subset").agg(F.sort_array(F.collect_list("h")).alias("sorted"), F.max("note").alias("note"))
+    rows = rows.select("id", "kind", F.when(F.col("term").isNotNull(), F.xxhash64("term")).alias("h"), note.alias("note"))
+    parts = subset_rows(chosen_terms(rows, terms)).groupBy("id", "kind", "subset").agg(F.sort_array(F.collect_list("h")).alias("sorted"), F.max("note").alias("note"))
     mark = F.substring(F.lower(F.lpad(F.hex(F.xxhash64("sorted")), 16, "0")), 1, DIGITS)
     cell = F.when(F.col("subset") >= 0, F.struct(F.col("subset"), mark.alias("mark")))
     whole = parts.groupBy("id", "kind").agg(F.map_from_entries(F.collect_list(cell)).alias("cells"), F.max("note").alias("note"))
@@ -90,7 +107,8 @@ def fingerprints(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def likeness(a: str, b: str) -> F.Column:
-    """Share of agreeing subsets among those with terms of either, at the level where it is largest; 1 if all are empty."""
+    """Share of agreeing subsets among those with terms of either, at the level where it is largest; 1 if all are empty:
+    only texts without terms have no subset."""
     both = F.zip_with(a, b, lambda x, y: F.when((x == EMPTY) & (y == EMPTY), 0).when(x == y, 1001).otherwise(1))
     sums = [F.aggregate(F.slice(both, k * SUBSETS + 1, SUBSETS), F.lit(0), lambda s, v: s + v) for k in range(LEVELS)]
     seen, same = [s % 1000 for s in sums], [F.floor(s / 1000) for s in sums]
