@@ -29,19 +29,38 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _place(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage is cut, and a lost executor costs no recomputation.
 
-    Readers see exact sizes, so that joins on it are planned by them. The files go when the session's JVM ends.
+    Readers see exact sizes, so that joins on it are planned by them. The files go by ``released``, or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, at = _place(spark, path)
+    files.deleteOnExit(at)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes the files of written tables, once everything made from them is written as well."""
+    for df in tables:
+        files, at = _place(df.sparkSession, df._written_to)
+        files.delete(at, True)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if a count proves ``df`` (a written table) to be small, else ``df`` for a shuffle join."""
     return F.broadcast(df) if df.count() <= limit else df
+
+
+def is_column(name: str, *names: str) -> bool:
+    """Whether a column's name is one of ``names``, as Spark compares them: whatever their case."""
+    return name.lower() in {n.lower() for n in names}

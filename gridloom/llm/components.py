@@ -5,29 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, small_side, written
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``(src, dst)`` long pairs to ``(node, component)``, the component being its smallest node.
 
-    Each round takes the smallest label among the neighbours, then the label of that label (pointer jumping), so that
-    rounds grow with the logarithm of a chain's length. Edges are joined by their far end and reduced with map-side
-    minimums: a hub costs one row a neighbour and no task gathers its links. Self links and nulls are dropped,
-    repeated links count once, an empty table gives an empty result.
+    Rounds of hooking and contraction: every node points to its smallest neighbour (a map-side minimum), pointers are
+    doubled until they reach their roots, and the links become links between roots, repeated and inner ones gone. A hub
+    is gone after one round, and what is left at least halves. Labels are looked up by broadcast where they are few,
+    otherwise by a shuffle on the node. Self links and nulls are dropped, repeated links count once, an empty table
+    gives an empty result.
     """
     pairs = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst")
-    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = written(pairs.select(F.inline(ways)).distinct(), "edges")
-    labels = written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("label")), "labels")
+    left = written(pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
+    found = None
     for _ in range(max_rounds):
-        near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("jump"))
-        step = labels.join(near, labels["node"] == near["src"], "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("low"))
-        after = written(
-            step.join(jump, step["low"] == jump["at"], "left").select("node", "was", F.least("low", "jump").alias("label")), "labels"
-        )
-        labels = after.select("node", "label")
-        if after.where("label <> was").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        if left.isEmpty():
+            break
+        ends = left.select("src", "dst").unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        near = ends.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("root"))
+        roots = _to_roots(written(near, "roots"), max_rounds)
+        if found is None:
+            found = roots
+        else:
+            moved = roots.toDF("old", "new")
+            found = written(found.join(small_side(moved), F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")), "labels")
+        a, b = small_side(roots).toDF("na", "ra"), small_side(roots).toDF("nb", "rb")
+        up = left.join(a, F.col("src") == F.col("na")).join(b, F.col("dst") == F.col("nb")).where("ra <> rb")
+        after = written(up.select(F.greatest("ra", "rb").alias("src"), F.least("ra", "rb").alias("dst")).distinct(), "edges")
+        released(left)
+        left = after
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    if found is None:
+        found = left.toDF("node", "root")
+    return found.select("node", F.col("root").alias("component"))
+
+
+def _to_roots(roots: DataFrame, max_rounds: int) -> DataFrame:
+    """``(node, root)`` with each pointer followed to its end: pointers always lead to smaller nodes."""
+    for _ in range(max_rounds):
+        # only what still moves: nodes that others point to and that point further
+        further = written(roots.where("root <> node").toDF("at", "next").join(roots.select(F.col("root").alias("at")).distinct(), "at", "left_semi"), "further")
+        if further.isEmpty():
+            return roots
+        after = written(roots.join(small_side(further), F.col("root") == F.col("at"), "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+        released(roots, further)
+        roots = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

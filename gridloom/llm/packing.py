@@ -2,15 +2,13 @@
 
 A configuration is a multiset of lengths that fits one sequence. The covering program (fewest sequences such that every
 length's count is covered) is solved by multiplicative weights: lengths covered less weigh more, and a knapsack dynamic
-program prices the best configuration of each round. Rounds go on as long as the best configuration fills its sequence.
-The fractional solution is rounded down; what it leaves is packed best-fit decreasing, run by run. All of this works on the histogram, whose size is the capacity: the driver's work does
-not grow with the number of documents. Pieces then find their places by joins: a piece's rank among those of its length
+program prices the best configuration of each round, which is used a whole number of times, once at least. All of this
+works on the histogram, whose size is the capacity: the driver's work does not grow with the number of documents. Pieces then find their places by joins: a piece's rank among those of its length
 names its configuration, its sequence and its offset.
 """
 
 from __future__ import annotations
 
-import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -26,12 +24,20 @@ from .tokens import default_path, encoder
 
 CAPACITY = 1024
 END_ID = 2
-#: Most rounds of multiplicative weights, how fast weights fall with coverage, and the largest share of a length's count
-#: that one round may cover.
-ROUNDS, STEP, SHARE = 2000, 0.1, 0.03
+#: Most rounds of multiplicative weights, how fast weights fall with coverage, and how much more a token of the longest
+#: pieces weighs: of configurations that fill a sequence, those of long pieces come first.
+ROUNDS, STEP, LONGER = 4000, 0.1, 0.1
+#: Pieces that are sent on at once.
+SLICE = 2048
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:
     """A row for each piece: a document's ids and the end id, cut only if longer than ``capacity``.
 
@@ -43,67 +49,83 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encode.ids(text.as_py())
-                ids.append(end_id)
-                raw, end, piece, start = struct.pack(f"<{len(ids)}I", *ids), (len(ids) - 1) % capacity + 1, 0, 0
+            rows: list[tuple] = []
+            for doc, text in zip(b.column(0), b.column(1), strict=True):
+                ids = np.array([*encode.ids(text.as_py()), end_id], "<u4")
+                end, piece, start = (len(ids) - 1) % capacity + 1, 0, 0
                 while start < len(ids):
-                    rows.append((doc, piece, start, end - start, zlib.crc32(raw[4 * start : 4 * end])))
+                    rows.append((doc.as_py(), piece, start, end - start, zlib.crc32(ids[start:end].tobytes())))
                     start, end, piece = end, end + capacity, piece + 1
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                if len(rows) >= SLICE:
+                    yield _batch(rows)
+                    rows = []
+            if rows:
+                yield _batch(rows)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECE_SCHEMA)
 
 
-def best_configuration(values: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
-    """The multiset of lengths within ``capacity`` of the largest total value (knapsack dynamic program)."""
-    worth = np.full(capacity + 1, -np.inf)
-    worth[lengths] = values
-    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        options = worth[1 : c + 1] + best[c - 1 :: -1] if c > 1 else worth[1:2] + best[:1]
-        k = int(options.argmax())
-        if options[k] > best[c - 1]:
-            best[c], took[c] = options[k], k + 1
-        else:
-            best[c] = best[c - 1]
-    out, c = Counter(), capacity
-    while c > 0:
-        if took[c]:
-            out[int(took[c])] += 1
-            c -= int(took[c])
-        else:
-            c -= 1
-    return out
+def best_configuration(values: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[Counter, float]:
+    """The multiset of lengths within ``capacity``, no length more often than its count, of the largest total value.
 
+    A knapsack dynamic program; counts are split into powers of two, so that each part is taken whole or not.
+    """
+    best, parts = np.zeros(capacity + 1), []
+    for value, length, count in zip(values.tolist(), lengths.tolist(), counts.tolist(), strict=True):
+        left, many = min(count, capacity // length), 1
+        while left > 0:
+            many = min(many, left)
+            size = many * length
+            with_it = best[: capacity + 1 - size] + many * value
+            took = with_it > best[size:]
+            best[size:] = np.where(took, with_it, best[size:])
+            parts.append((length, many, size, took))
+            left, many = left - many, many * 2
+    out, room = Counter(), capacity
+    for length, many, size, took in reversed(parts):
+        if room >= size and took[room - size]:
+            out[length] += many
+            room -= size
+    return out, float(best[capacity])
+
+
+def lower_bound(histogram: dict[int, int], weights: dict[int, float], capacity: int) -> float:
+    """Sequences that any packing needs: the value of ``weights`` as a dual solution of the configuration program."""
+    lengths = np.array(sorted(histogram), np.int64)
+    values, counts = np.array([weights[n] for n in lengths.tolist()]), np.array([histogram[n] for n in lengths.tolist()])
+    return float(values @ counts) / best_configuration(values, lengths, counts, capacity)[1]
 
-def fractional(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> dict[tuple[tuple[int, int], ...], float]:
-    """How often each configuration is used in a fractional solution: multiplicative weights.
 
-    It ends when no configuration that fills its sequence is worth most, since a wasteful one is best left to the fill.
+def priced_plan(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[Counter, int]], dict[int, int], float]:
+    """(configuration, number of sequences) by multiplicative weights, what they leave, and a lower bound of sequences.
+
+    Each round weighs a length by its tokens times a factor that falls with the share of it that is covered, and prices
+    the best configuration of what is left. It is used as often as the scarcest of its lengths allows, so that amounts are
+    whole and rounding drops no configuration. Rounds end when the best configuration leaves room in its sequence. The
+    bound is the best of the weights of every 64th round, as dual solutions.
     """
-    lengths = np.array(sorted(histogram), np.int64)
-    counts = np.array([histogram[n] for n in lengths.tolist()], float)
-    covered, used = np.zeros(len(lengths)), Counter()
+    lengths = np.array(sorted(histogram, reverse=True), np.int64)
+    total = np.array([histogram[n] for n in lengths.tolist()], np.int64)
+    left, out = total.copy(), []
     place = {n: i for i, n in enumerate(lengths.tolist())}
-    for _ in range(rounds):
-        open_ = covered < 1
-        if not open_.any():
+    bound = float(lengths @ total) / capacity
+    for k in range(rounds):
+        if not left.any():
             break
-        weights = np.exp(-(covered - covered.min()) / STEP) * lengths
-        config = best_configuration(weights[open_], lengths[open_], capacity)
+        covered = 1 - left / total
+        open_ = left > 0
+        weights = np.exp((covered[open_].min() - covered) / STEP) * lengths * (1 + LONGER * lengths / capacity)
+        config, _ = best_configuration(weights[open_], lengths[open_], left[open_], capacity)
+        if k % 64 == 63:
+            bound = max(bound, lower_bound(histogram, dict(zip(lengths.tolist(), weights.tolist(), strict=True)), capacity))
         if sum(n * times for n, times in config.items()) < capacity:
             break
         at = np.array([place[n] for n in config])
-        times = np.array(list(config.values()), float)
-        amount = float((np.minimum(1 - covered[at], SHARE) * counts[at] / times).min())
-        covered[at] += amount * times / counts[at]
-        covered[at[covered[at] > 1 - 1e-9]] = 1
-        used[tuple(sorted(config.items()))] += amount
-    return used
+        times = np.array(list(config.values()), np.int64)
+        n = int((left[at] // times).min())
+        left[at] -= n * times
+        out.append((config, n))
+    return out, {n: c for n, c in zip(lengths.tolist(), left.tolist(), strict=True) if c}, bound
 
 
 def fill(histogram: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
@@ -142,17 +164,16 @@ def fill(histogram: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Counter, int]]:
-    """(configuration, number of sequences) that hold exactly the histogram's pieces."""
+    """(configuration, number of sequences) that hold exactly the histogram's pieces.
+
+    Priced configurations, and best-fit decreasing for what they leave; best-fit decreasing alone where that needs fewer
+    sequences.
+    """
     if not histogram:
         return []
-    left, out = Counter(histogram), []
-    for config, amount in fractional(histogram, capacity).items():
-        n = min([int(amount + 1e-6), *(left[length] // times for length, times in config)])
-        if n > 0:
-            out.append((Counter(dict(config)), n))
-            for length, times in config:
-                left[length] -= n * times
-    return out + fill(+left, capacity)
+    priced, left, _ = priced_plan(histogram, capacity)
+    whole, plain = priced + fill(left, capacity), fill(histogram, capacity)
+    return min(whole, plain, key=lambda p: sum(n for _, n in p))
 
 
 def slots(planned: list[tuple[Counter, int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -184,7 +205,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece of every row.
 
     Offsets in a sequence run from 0 without gaps. Null text packs as empty; repeated rows and null ids are packed like
-    any other row, each of them once; an empty table gives an empty result; other columns are ignored.
+    any other row, each of them once; an empty table gives an empty result; other columns are ignored. A text of any
+    length is encoded whole and cut into pieces. Equal lengths take their places by id, piece and checksum.
     """
     spark = docs.sparkSession
     cut = written(pieces(docs, id_col, text_col, capacity, end_id, path), "pieces")

@@ -20,8 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, written
+from .common import released, small_side, written
 from .components import connected_components
+from .shingles import SHINGLE, SIMILARITY, linked_sets, shingle_sets
 
 #: Generator polynomial of the binary Golay code, its length and its check bits.
 GENERATOR, WORD_BITS, CHECK_BITS = 0xC75, 23, 11
@@ -131,7 +132,9 @@ def _keyed(fps: DataFrame, keys, name: str) -> DataFrame:
                 rows, made = keys(part.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(made.astype(np.int32)), pa.array(part[rows])], names=["key", name])
 
-    return fps.select("fp").mapInArrow(run, f"key int, {name} long")
+    # a written table of fingerprints is a few files; each row becomes up to a hundred keys
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return fps.select("fp").repartition(parts).mapInArrow(run, f"key int, {name} long")
 
 
 def linked_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -152,7 +155,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal fingerprints are one node, so copies never become pairs. Null and blank texts have fingerprint zero and link
     like others. A row without id gets its group's smallest id, null if the group has none. Repeated ids keep one row
     each and join their fingerprints' groups. An empty table gives an empty result; other columns are ignored. Ids are
-    below 2**62.
+    below 2**62. Texts of any length are read whole, their shingles hashed in chunks.
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
     spare = F.lit(NO_ID) + F.col("fp").bitwiseAND(F.lit(NO_ID - 1))
@@ -172,11 +175,49 @@ def hex16(column) -> F.Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints_of_sets(sets: DataFrame) -> DataFrame:
+    """``(h, fp)`` of ``(h, marks)``: the SimHash of hashes of shingles that are there already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = []
+            for marks in b.column(1):
+                bits = np.unpackbits(marks.values.to_numpy(zero_copy_only=False).astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                fps.append(int.from_bytes(np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(bits), bitorder="little").tobytes(), "little"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["h", "fp"])
+
+    return sets.select("h", "marks").mapInArrow(run, "h long, fp long")
+
+
+def near_sets(sets: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``(src, dst)``: candidate links of written ``(h, marks)``, found by Golay keys; equal fingerprints meet at their first set."""
+    fps = written(fingerprints_of_sets(sets.where(F.size("marks") > 0)), "set-prints")
+    heads = written(fps.groupBy("fp").agg(F.min("h").alias("head")), "print-heads")
+    inside = fps.join(heads, "fp").where("h <> head").select(F.col("head").alias("src"), F.col("h").alias("dst"))
+    a, b = heads.toDF("a", "src"), heads.toDF("b", "dst")
+    return inside.unionByName(linked_fingerprints(heads, max_bits).join(a, "a").join(b, "b").select("src", "dst"))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate group, that of the smallest id; blank texts are a group too.
 
-    Rows without id cannot be named and stay; rows repeating the kept id are that document and stay with it.
+    Near: that share of their five-word shingles in common, by sets, verified exactly. SimHash with Golay keys finds the near ones among
+    candidates first; such similarity lies at five to ten differing bits, beyond any such key, so that lowest hashes of the
+    sets complete it for documents that are still in different groups: no pair is missed. Groups are those of all links.
+    Rows without id cannot be named and stay; rows repeating the kept id are that document and stay with it, those
+    repeating any id join their groups. Null texts count as blank. An empty table gives an empty result; other columns stay.
     """
-    groups = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    gone = written(groups.where("id <> component_id").select(F.col("id").alias(id_col)).distinct(), "gone")
-    return docs.join(small_side(gone), id_col, "left_anti")
+    rows = written(shingle_sets(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle), "shingles")
+    sets = written(rows.groupBy("h").agg(F.first("marks").alias("marks")), "shingle-sets")
+    ids = rows.select("id", "h").distinct()
+    low = ids.groupBy("id").agg(F.min("h").alias("src"), F.count("*").alias("n")).where("n > 1")
+    same = ids.join(low, "id").select("src", F.col("h").alias("dst"))
+    links = linked_sets(sets, similarity, near_sets(sets))
+    parts = written(connected_components(links.unionByName(same)), "set-parts")
+    placed = ids.join(small_side(parts), ids["h"] == parts["node"], "left").select("id", F.coalesce("component", "h").alias("part"))
+    placed = written(placed, "shingle-groups")
+    firsts = written(placed.groupBy("part").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("part", "first"), "firsts")
+    gone = placed.join(small_side(firsts), "part").where("id <> first").select(F.col("id").alias("gone_id")).distinct()
+    gone = written(gone, "gone")
+    released(rows, sets, parts, placed, firsts)
+    return docs.join(small_side(gone), docs[id_col].cast("long") == gone["gone_id"], "left_anti")

@@ -8,8 +8,10 @@ Unseen chunks are encoded together; texts with other runs or special tokens are
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import tiktoken
 from tokenizers import Tokenizer
@@ -17,7 +19,7 @@ from tokenizers import Tokenizer
 #: Runs in which a space does not simply lead a word.
 _RUN = re.compile(r"\s \s|\s \Z")
 #: Chunks kept in a worker's memo before it starts anew.
-MEMO = 500_000
+MEMO = 100_000
 #: The pre-token pattern that byte-level BPE vocabularies of this family share (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -31,19 +33,33 @@ def default_path(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """``ids(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids``; null is the empty text.
 
-    ``path`` is the tokenizer's json; beside it lies the same vocabulary as ranks, with the suffix ``.tiktoken``.
+    ``path`` is the tokenizer's json. Where the same vocabulary lies beside it as ranks, with the suffix ``.tiktoken``, and
+    the tokenizer is a plain byte-level one without normalizer, most texts are encoded from chunks; otherwise each whole.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        with open(path.removesuffix(".json") + ".tiktoken", "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        (self.newline,) = self.plain("\n")
+        self.path = path
+        with open(path, encoding="utf-8") as text:
+            made = json.load(text)
+        ranks_path = path.removesuffix(".json") + ".tiktoken"
+        before = made.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made.get("normalizer")
+        self.special = tuple(t["content"] for t in made.get("added_tokens") or ())
+        self.chunked = bool(plain and os.path.exists(ranks_path))
         self.memo: dict[str, tuple[int, ...]] = {}
+        if self.chunked:
+            with open(ranks_path, "rb") as lines:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self.plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            (self.newline,) = self.plain("\n")
+
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """Loaded for the first text that is encoded whole."""
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -70,7 +86,7 @@ class Encoder:
         """Consecutive runs of ids that make up the text's ids."""
         if not text:
             return []
-        if any(s in text for s in self.special) or _RUN.search(text):
+        if not self.chunked or any(s in text for s in self.special) or _RUN.search(text):
             return [self.whole(text)]
         first, *chunks = text.split(" ")
         memo = self.memo
@@ -91,7 +107,7 @@ class Encoder:
         return sum(map(len, self.parts(text)))
 
 
-@lru_cache(4)
+@lru_cache(1)
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and path."""
     return Encoder(path)

@@ -112,7 +112,7 @@ def test_language_id_edges(spark):
     assert {r.lang_pred for r in langid.predict(df, empty).collect()} == {"und"}
     assert langid.predict(df.limit(0), model).collect() == []
     long = "the dog and the cat " * 200_000
-    assert model.predict([long], model.tables())[0] == ["en"]
+    assert model.predict([long])[0] == ["en"]
 
 
 def test_kernel_counts_shared_grams():
@@ -124,7 +124,7 @@ def test_kernel_counts_shared_grams():
 
     texts = ["The cat.", "Der Hund!", "el gato", "cats and dogs"]
     model = langid.fit(pd.DataFrame({"text": texts, "lang": ["en", "de", "es", "en"]}))
-    x = model.presence(texts, model.tables())
+    x = model.presence(texts)
     assert (x @ x.T == [[len(spectrum(a) & spectrum(b)) for b in texts] for a in texts]).all()
 
 
