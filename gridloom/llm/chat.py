@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Mapping:
     """How a layout becomes turns.
 
@@ -83,16 +83,55 @@ def registry(mappings: Iterable[Mapping] = MAPPINGS) -> dict[str, Mapping]:
     return out
 
 
-def canonical_turns(record: dict, by_fingerprint: dict[str, Mapping]) -> tuple[str, str | None, list[tuple[str, str]]]:
-    """(fingerprint, mapping or None, turns) of a record. Null roles and texts are empty."""
-    print_ = schema_fingerprint(p for p in paths(record) if p.split(".")[0] not in IGNORED)
+def known_paths(mappings: Iterable[Mapping] = MAPPINGS) -> frozenset[str]:
+    return frozenset(p for m in mappings for layout in m.layouts() for p in layout)
+
+
+def reduced(found: Iterable[str], known: frozenset[str]) -> set[str]:
+    """The paths of mappings that occur; what lies inside such a field counts as the field, other fields do not count."""
+    out = set()
+    for path in found:
+        cut = [k for k in known if path == k or path.startswith((f"{k}.", f"{k}["))]
+        out |= {max(cut, key=len)} if cut else set()
+    return out
+
+
+def as_text(value) -> str:
+    """A role or text of any JSON value: null is empty, a list of parts is its texts joined, other values are their JSON.
+
+    Lone surrogates, which no UTF-8 text can hold, become U+FFFD.
+    """
+    if value is None:
+        return ""
+    if isinstance(value, list) and value and all(isinstance(x, str) or (isinstance(x, dict) and isinstance(x.get("text"), str)) for x in value):
+        value = "".join(x if isinstance(x, str) else x["text"] for x in value)
+    if not isinstance(value, str):
+        value = json.dumps(value, ensure_ascii=False, sort_keys=True)
+    return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def canonical_turns(record: dict, by_fingerprint: dict[str, Mapping], known: frozenset[str] | None = None) -> tuple[str, str | None, list[tuple[str, str]]]:
+    """(fingerprint, mapping or None, turns) of a record. Null roles and texts are empty.
+
+    The fingerprint of all paths selects the mapping. If none has it, that of the paths that mappings name does, so that
+    further fields and parts inside a field change nothing; last, the first mapping whose fields are all there.
+    """
+    found = {p for p in paths(record) if p.split(".")[0] not in IGNORED}
+    print_ = schema_fingerprint(found)
     m = by_fingerprint.get(print_)
+    if m is None:
+        mine = reduced(found, known if known is not None else known_paths(by_fingerprint.values()))
+        m = by_fingerprint.get(schema_fingerprint(mine)) if mine else None
+        if m is None:
+            m = next((x for x in dict.fromkeys(by_fingerprint.values()) if any(layout <= mine for layout in x.layouts())), None)
     if m is None:
         return print_, None, []
     if m.turns:
         at, role, text = m.turns
-        return print_, m.name, [(m.roles.get(t.get(role), t.get(role)) or "", t.get(text) or "") for t in record[at]]
-    return print_, m.name, [(role, record[p] or "") for path, role in m.fields if (p := path.rstrip("?")) in record]
+        items = record[at] if isinstance(record[at], list) else []
+        turns = [(as_text(t.get(role)), as_text(t.get(text))) if isinstance(t, dict) else ("", as_text(t)) for t in items]
+        return print_, m.name, [(m.roles.get(r, r), t) for r, t in turns]
+    return print_, m.name, [(role, as_text(record[p])) for path, role in m.fields if (p := path.rstrip("?")) in record]
 
 
 def escape(text: str) -> str:
@@ -140,20 +179,24 @@ RESULT = "conv_id long, schema_hash string, mapping string, n_turns long, format
 def format_records(records: DataFrame, id_col: str = "conv_id", json_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """JSON records of any layout to formatted texts, a row for each record.
 
-    Unknown layouts, null and unparsable records have a null mapping, no turns and an empty text; nothing is dropped.
-    Null roles and texts are empty. Repeated rows give repeated rows. An empty table gives an empty result.
+    Unknown layouts, null and unparsable records, those that are no object and those nested too deeply have a null
+    mapping, no turns and an empty text; nothing is dropped. Roles and texts that are no strings are as ``as_text`` says.
+    Texts of any length are formatted whole. Repeated rows give repeated rows, turns keep the record's order. Other
+    columns are ignored. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = registry(mappings)
+        known, named = registry(mappings), known_paths(mappings)
         for b in batches:
             rows = []
             for conv, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                print_, name, turns = schema_fingerprint([]), None, []
                 try:
                     record = json.loads(raw or "")
-                except ValueError:
-                    record = None
-                print_, name, turns = canonical_turns(record, known) if isinstance(record, dict) else (schema_fingerprint([]), None, [])
+                    if isinstance(record, dict):
+                        print_, name, turns = canonical_turns(record, known, named)
+                except (ValueError, RecursionError):
+                    pass
                 text, spans = format_turns(turns)
                 rows.append({"conv_id": conv, "schema_hash": print_, "mapping": name, "n_turns": len(turns), "formatted": text, "loss_spans": [{"start": s, "end": e} for s, e in spans]})
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
@@ -168,7 +211,8 @@ _ARROW = pa.schema([("conv_id", pa.int64()), ("schema_hash", pa.string()), ("map
 def records_from_turns(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Rows ``(id, turn, role, text)`` to one JSON record of the messages layout for each id, turns in order.
 
-    Equal turn numbers go by role, then text; null turn numbers come first.
+    Equal turn numbers go by role, then text; null turn numbers come first. A null id is one conversation. A record holds
+    one conversation whole, so that its turns must fit a row. An empty table gives an empty result; other columns are ignored.
     """
     message = F.struct(F.col("turn").alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     grouped = turns.groupBy(F.col(id_col).cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(message)).alias("all"))
@@ -180,7 +224,11 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Digests of what the formatted texts and loss masks hold, read back from them."""
+    """Digests of what the formatted texts and loss masks hold, read back from them: a row for each row.
+
+    A text without turns has none of them and the digests of the empty string. Repeated rows stay; an empty table gives an
+    empty result; other columns are dropped.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -7,26 +7,34 @@ equal pseudonyms in every document, and the key's owner can invert them.
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import is_column
+
 ROUNDS = 8
 #: Days of 400 years of the Gregorian calendar, and its factors: the radices of the dates' Feistel network. Dates are
 #: permuted within their 400 years (0400 to 0799, ... 9600 to 9999).
 CYCLE_DAYS, CYCLE_A, CYCLE_B = 146_097, 189, 773
+#: Area, group and serial numbers of national ids that are given out: areas 001 to 899 but 666, groups 01 to 99, serials 0001 to 9999.
+AREAS, NO_AREA, GROUPS, SERIALS = 898, 666, 99, 9_999
 #: Finds every value that may be personal; what it is, is decided by validation.
 PATTERN = (
     r"(?<![0-9A-Za-z])(?:"
-    r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
+    r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9])"
+    r"|(?:[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
     r"|[0-9]{4}-[0-9]{2}-[0-9]{2}"
     r"|[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
-    r"|\+?[0-9]{1,3}[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
+    r"|(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
     r"|[0-9]{3}-[0-9]{2}-[0-9]{4}"
     r"|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
+    r"|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
     r"|[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}"
-    r")(?![0-9A-Za-z])"
+    r")(?![0-9A-Za-z]))"
 )
 
 
@@ -55,7 +63,7 @@ KINDS = (
     Kind("date", r"m rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}$' and m >= '0400' and try_to_date(m) is not null"),
     Kind("ip", r"m rlike '^[0-9]{1,3}(\\.[0-9]{1,3}){3}$' and forall(split(m, '[.]'), x -> int(x) < 256 and (x = '0' or x not like '0%'))"),
     Kind("phone", r"m rlike '\\(' or m rlike '^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$'"),
-    Kind("national_id", r"m rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$'"),
+    Kind("national_id", r"m rlike '^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$'"),
     Kind("card", f"length({_digits('m')}) between 13 and 19 and {luhn(_digits('m'))}"),
 )
 
@@ -127,6 +135,11 @@ def pseudonym(kind: str, key: str, inverse: bool = False) -> str:
         number = "aggregate(split(m, '[.]'), 0L, (s, x) -> s * 256 + int(x))"
         moved = feistel(number, key, tweak, "65536", "65536", inverse=inverse)
         return f"transform(array({moved}), v -> concat_ws('.', v div 16777216, v div 65536 % 256, v div 256 % 256, v % 256))[0]"
+    if kind == "national_id":
+        area = f"int(left(m, 3)) - if(int(left(m, 3)) > {NO_AREA}, 2, 1)"
+        moved = feistel(f"((bigint({area}) * {GROUPS} + int(substr(m, 5, 2)) - 1) * {SERIALS} + int(right(m, 4)) - 1)", key, tweak, str(AREAS * GROUPS), str(SERIALS), inverse=inverse)
+        back = f"v div {GROUPS * SERIALS} + if(v div {GROUPS * SERIALS} >= {NO_AREA - 1}, 2, 1)"
+        return f"transform(array({moved}), v -> format_string('%03d-%02d-%04d', {back}, v div {SERIALS} % {GROUPS} + 1, v % {SERIALS} + 1))[0]"
     digits = _digits("m")
     if kind == "card":
         body = f"left({digits}, length({digits}) - 1)"
@@ -137,17 +150,21 @@ def pseudonym(kind: str, key: str, inverse: bool = False) -> str:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: bool = False) -> DataFrame:
     """``docs`` with the text's personal values replaced, and the number of values of each kind in ``n_<kind>``.
 
-    Whole texts; nothing is shuffled. Values that match a format but fail its validation stay. Null texts stay null and
-    count nothing. Repeated rows and other columns stay; columns of the counts' names are replaced.
+    Whole texts of any length; nothing is shuffled. Values that match a format but fail its validation stay. Null texts
+    stay null and count nothing, empty ones stay empty. Repeated rows and other columns stay; columns of the counts' names
+    (in any case) are replaced. An empty table gives an empty result. Query plans show keys derived from ``key``, one
+    for each kind, never ``key`` itself.
     """
-    k = "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    keys = {x.name: "'" + hmac.new(key.encode(), x.name.encode(), hashlib.sha256).hexdigest() + "'" for x in KINDS}
     pattern = "r'" + PATTERN + "'"
     kind = "case " + " ".join(f"when {x.valid} then '{x.name}'" for x in KINDS) + " end"
-    new = "case k " + " ".join(f"when '{x.name}' then {pseudonym(x.name, k, inverse)}" for x in KINDS) + " else m end"
-    kept = [c for c in docs.columns if c not in {f"n_{x.name}" for x in KINDS}]
-    found = docs.select(*kept, F.expr(f"regexp_extract_all(`{text_col}`, {pattern}, 0)").alias("_found"))
-    found = found.withColumn("_kinds", F.expr(f"transform(_found, m -> {kind})"))
-    found = found.withColumn("_new", F.expr(f"zip_with(_found, _kinds, (m, k) -> {new})"))
-    text = F.expr(f"if(size(_found) = 0, `{text_col}`, array_join(zip_with(split(`{text_col}`, {pattern}, -1), _new, (a, b) -> concat(a, coalesce(b, ''))), ''))")
-    counts = [F.expr(f"coalesce(size(filter(_kinds, k -> k = '{x.name}')), 0)").cast("long").alias(f"n_{x.name}") for x in KINDS]
-    return found.select(*(F.when(F.col(text_col).isNotNull(), text).alias(c) if c == text_col else c for c in kept), *counts)
+    new = "case k " + " ".join(f"when '{x.name}' then {pseudonym(x.name, keys[x.name], inverse)}" for x in KINDS) + " else m end"
+    kept = [c for c in docs.columns if not is_column(c, *(f"n_{x.name}" for x in KINDS))]
+    whole = docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("whole"))
+    found = whole.withColumn("found", F.expr(f"regexp_extract_all(whole, {pattern}, 0)"))
+    found = found.withColumn("kinds", F.expr(f"transform(found, m -> {kind})"))
+    found = found.withColumn("new", F.expr(f"zip_with(found, kinds, (m, k) -> {new})"))
+    text = F.expr(f"if(size(found) = 0, whole, array_join(zip_with(split(whole, {pattern}, -1), new, (a, b) -> concat(a, coalesce(b, ''))), ''))")
+    counts = [F.expr(f"coalesce(size(filter(kinds, k -> k = '{x.name}')), 0)").cast("long").alias(f"n_{x.name}") for x in KINDS]
+    text = F.when(F.col("whole").isNotNull(), text)
+    return found.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept), *counts)

@@ -9,8 +9,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import is_column
+
 TABLE_SIZE = 65_537
 SHARDS = 64
+#: Largest table that is broadcast (some tens of MB).
+MOST_SLOTS = 1 << 20
 
 
 def is_prime(n: int) -> bool:
@@ -23,8 +27,8 @@ def lookup_table(shards: Sequence[str], table_size: int = TABLE_SIZE) -> np.ndar
     A shard prefers ``offset, offset + skip, offset + 2 skip ...`` modulo the prime table size, both hashed from its
     name, so its preferences visit every slot. The order of ``shards`` has no effect but for the indices.
     """
-    if not is_prime(table_size):
-        raise ValueError("the table size must be prime")
+    if table_size > MOST_SLOTS or not is_prime(table_size):
+        raise ValueError(f"the table size must be prime, {MOST_SLOTS} at most")
     if not shards or len(set(shards)) != len(shards) or len(shards) > table_size:
         raise ValueError("shards must be distinct, one at least, and fit the table")
     turns = sorted(range(len(shards)), key=lambda i: shards[i])
@@ -57,12 +61,13 @@ def place(df: DataFrame, key: str, shards: Sequence[str] | None = None, table_si
     """``df`` with ``slot`` and ``shard`` of each row, in constant time by a broadcast of the table; nothing is shuffled.
 
     Equal keys share a shard. ``spread_by`` names a column that is hashed with the key, for keys too frequent for one
-    shard. Null keys count as empty text; repeated rows keep their multiplicity; columns named slot or shard are replaced.
+    shard. Null keys count as empty text; repeated rows keep their multiplicity; columns named slot or
+    shard (in any case) are replaced; an empty table gives an empty result. The table is broadcast: MOST_SLOTS bounds it.
     """
     shards = shards or [f"shard-{i:05d}" for i in range(SHARDS)]
     k = F.coalesce(F.col(key).cast("string"), F.lit(""))
     if spread_by:
         k = F.concat_ws("\x1f", k, F.coalesce(F.col(spread_by).cast("string"), F.lit("")))
-    rows = df.withColumn("slot", slot_of(k, table_size))
-    rows = rows.select(*(c for c in rows.columns if c != "shard"))
-    return rows.join(F.broadcast(table_frame(df.sparkSession, shards, table_size)), "slot").select(*(c for c in rows.columns if c != "slot"), "slot", "shard")
+    kept = [c for c in df.columns if not is_column(c, "slot", "shard")]
+    rows = df.select(*kept, slot_of(k, table_size).alias("slot"))
+    return rows.join(F.broadcast(table_frame(df.sparkSession, shards, table_size)), "slot").select(*kept, "slot", "shard")
