@@ -54,3 +54,17 @@ def seasonal(t: Column, start: str, end: str, years_before: int, years_after: in
         lo, hi = (F.add_months(F.lit(x).cast("date"), 12 * s) for x in (start, end))
         out = out | ((t >= lo) & (t < hi))
     return out
+
+
+def from_fractional_year(y: Column) -> Column:
+    """The time of a fractional year, to the second."""
+    year = F.floor(y).cast("int")
+    first = F.make_date(year, F.lit(1), F.lit(1))
+    length = F.datediff(F.make_date(year + 1, F.lit(1), F.lit(1)), first)
+    seconds = F.round((y - year) * length * 86400).cast("long")
+    return F.timestamp_seconds(F.unix_seconds(first.cast("timestamp")) + seconds)
+
+
+def from_julian_day(day: Column) -> Column:
+    """The time of a day number that counts from year 0, to the second."""
+    return F.timestamp_seconds(F.round((day - EPOCH_DAY) * 86400).cast("long"))

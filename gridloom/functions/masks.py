@@ -27,3 +27,9 @@ def unmask(x: Column, value) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """Division that masks where the divisor is zero."""
     return a / F.nullif(b, F.lit(0))
+
+
+def mean_of(*values: Column) -> Column:
+    """Mean of the values that are not masked; masked if all are."""
+    total = sum((F.coalesce(v, F.lit(0.0)) for v in values), F.lit(0.0))
+    return total / F.nullif(sum((v.isNotNull().cast("int") for v in values), F.lit(0)), F.lit(0))

@@ -88,3 +88,57 @@ def change_probability(x: Column, mean: Column, std: Column, ratio: float = 1.0)
     density = lambda m: F.exp(-F.pow((x - m) / width, F.lit(2.0)) / 2)
     changed, same = density(mean - 4 * std * ratio), density(mean)
     return F.least(F.greatest(changed / F.nullif(changed + same, F.lit(0.0)), F.lit(0.05)), F.lit(0.95))
+
+
+def year_before(obs: DataFrame, segments: DataFrame, key: str, t: str, value: str, coefs: str, rmse: str, least: float, harmonics: int = 3, year: float = 365.25) -> DataFrame:
+    """Observations with the model of one year earlier: ``difference`` (model less observation), ``confidence`` (its size over
+    rmse) and ``changed`` (confidence above ``least``). The segment nearest to that date gives the model."""
+    from ..functions import harmonics as H
+    from . import segments as S
+
+    dated = obs.withColumn("_t", F.col(t) - year)
+    near = S.nearest(segments, dated.select(key, F.col("_t").alias("t")).distinct(), key, [coefs, rmse])
+    rows = dated.join(near.select(F.col(key).alias("_k"), F.col("t").alias("_at"), coefs, rmse), (F.col(key) == F.col("_k")) & (F.col("_t") == F.col("_at"))).where(F.col(coefs).isNotNull())
+    difference = H.value(F.col(coefs), F.col("_t"), harmonics) - F.col(value)
+    confidence = F.abs(difference) / F.nullif(F.col(rmse), F.lit(0.0))
+    return rows.select(*obs.columns, difference.alias("difference"), confidence.alias("confidence"), (confidence > least).alias("changed"))
+
+
+def kept_alerts(alerts: DataFrame, monitoring: Column, in_calibration: Column | None = None, must_stay: bool = True, must_confirm: bool = True) -> DataFrame:
+    """Alerts confirmed in the monitoring period, not already in calibration, and that stayed changed, as far as required."""
+    test = F.col("confirmation").isNotNull()
+    if must_confirm:
+        test = test & (F.col("confirmation") >= monitoring)
+        if in_calibration is not None:
+            test = test & ~in_calibration
+    if must_stay:
+        test = test & F.coalesce(F.col("last_stable") < F.col("last_detection"), F.lit(True))
+    return alerts.where(test)
+
+
+def bayesian_flags(flag: Column, p: Column, sure: float = 0.85) -> Column:
+    """Flags of an alert as users see them: 1 low, 2 high, 3 confirmed; each rule tests the flag as it was."""
+    return F.when((flag == 1) & (p >= sure), 2).when((flag == 2) & (p >= sure), 3).otherwise(flag)
+
+
+def class_alert_details(obs: DataFrame, key: str, t: str, cls: str, index: str, baseline: DataFrame, from_classes: Sequence[int], to_classes: Sequence[int], gate: float | None = None) -> DataFrame:
+    """Transitions from baseline classes with an optional gate: the index must have moved by ``gate`` from its baseline.
+
+    ``baseline`` has ``base`` and ``base_index``. Of each pixel with a change: first and last change date, changes, no-changes,
+    occlusions and valid observations from the first change on, totals over all dates, repeatability in per cent, and
+    the least, mean and largest index change of changed observations.
+    """
+    moved = F.col(index) - F.col("base_index")
+    change = F.col("base").isin(list(from_classes)) & F.col(cls).isin(list(to_classes))
+    if gate is not None:
+        change = change & (moved >= gate)
+    rows = obs.join(baseline, key).withColumns({"_change": F.coalesce(change, F.lit(False)), "_moved": moved})
+    first = rows.groupBy(key).agg(F.min(F.when(F.col("_change"), F.col(t))).alias("first_change"), F.max(F.when(F.col("_change"), F.col(t))).alias("last_change"), F.count("*").alias("images"), F.count(cls).alias("valid_images"))
+    after = rows.join(first.where("first_change is not null"), key)
+    since = F.col(t) >= F.col("first_change")
+    moved = F.when(F.col("_change"), F.col("_moved"))
+    out = after.groupBy(key, "first_change", "last_change", "images", "valid_images").agg(
+        F.count_if(F.col("_change")).alias("changes"), F.count_if(since & ~F.col("_change") & F.col(cls).isNotNull()).alias("no_changes"), F.count_if(since & F.col(cls).isNull()).alias("occluded"),
+        F.count_if(since & F.col(cls).isNotNull()).alias("valid"), F.min(moved).alias("least_move"), F.avg(moved).alias("mean_move"), F.max(moved).alias("largest_move"), F.first("base").alias("base"),
+    )
+    return out.withColumn("repeatability", 100 * F.col("changes") / F.nullif(F.col("valid"), F.lit(0)))

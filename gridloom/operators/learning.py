@@ -26,22 +26,34 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip").transform(df)
 
 
+def _masked_too(found: DataFrame, pixels: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``found`` with the pixels that have a masked feature, whose result is masked."""
+    masked = F.lit(False)
+    for f in features:
+        masked = masked | F.col(f).isNull()
+    return found.unionByName(pixels.where(masked), allowMissingColumns=True)
+
+
 def classify(train: DataFrame, pixels: DataFrame, features: Sequence[str], label: str, kind: str, **options) -> DataFrame:
-    """``pixels`` with ``class`` and, where the classifier has probabilities, ``class_probability`` in percent."""
+    """``pixels`` with ``class`` and, where the classifier has probabilities, ``class_probability`` in percent.
+
+    Pixels with a masked feature stay, with a masked class; such training rows teach nothing.
+    """
     made = CLASSIFIERS[kind](**options)
     if not isinstance(made, OneVsRest):
         made = made.setFeaturesCol("_features").setLabelCol(label)
         out = made.fit(_assembled(train, features)).transform(_assembled(pixels, features))
         best = F.round(100 * F.array_max(vector_to_array("probability"))).cast("int")
-        return out.select(*pixels.columns, F.col("prediction").cast("int").alias("class"), best.alias("class_probability"))
+        return _masked_too(out.select(*pixels.columns, F.col("prediction").cast("int").alias("class"), best.alias("class_probability")), pixels, features)
     made = made.setFeaturesCol("_features").setLabelCol(label)
     out = made.fit(_assembled(train, features)).transform(_assembled(pixels, features))
-    return out.select(*pixels.columns, F.col("prediction").cast("int").alias("class"))
+    return _masked_too(out.select(*pixels.columns, F.col("prediction").cast("int").alias("class")), pixels, features)
 
 
 def regress(train: DataFrame, pixels: DataFrame, features: Sequence[str], target: str, kind: str, **options) -> DataFrame:
     model = REGRESSORS[kind](featuresCol="_features", labelCol=target, seed=1, **options).fit(_assembled(train, features))
-    return model.transform(_assembled(pixels, features)).select(*pixels.columns, F.col("prediction").alias("regression"))
+    found = model.transform(_assembled(pixels, features)).select(*pixels.columns, F.col("prediction").alias("regression"))
+    return _masked_too(found, pixels, features)
 
 
 def minimum_distance(train: DataFrame, pixels: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -54,13 +66,17 @@ def minimum_distance(train: DataFrame, pixels: DataFrame, features: Sequence[str
 
 
 def cluster(pixels: DataFrame, features: Sequence[str], k: int) -> DataFrame:
-    """``cluster`` of each pixel by k-means, numbered by the clusters' mean of the first feature."""
+    """``cluster`` of each pixel by k-means, numbered by the clusters' mean of the first feature (no sampled pixel decides).
+
+    Pixels with a masked feature stay, with a masked cluster.
+    """
     vectors = _assembled(pixels, features)
     found = KMeans(k=k, seed=1, featuresCol="_features", predictionCol="_raw").fit(vectors).transform(vectors).drop("_features")
     means = found.groupBy("_raw").agg(F.avg(features[0]).alias("_mean"))
     rows = means.agg(F.array_sort(F.collect_list(F.struct("_mean", "_raw"))).alias("_order"))
     place = F.array_position(F.transform("_order", lambda s: s["_raw"]), F.col("_raw")) - 1
-    return found.join(F.broadcast(rows)).withColumn("cluster", place.cast("int")).drop("_raw", "_order")
+    found = found.join(F.broadcast(rows)).withColumn("cluster", place.cast("int")).drop("_raw", "_order")
+    return _masked_too(found, pixels, features)
 
 
 def rules(tree: dict) -> F.Column:

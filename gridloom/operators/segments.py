@@ -107,3 +107,71 @@ def value_at(segments: DataFrame, dates: DataFrame, key: str, slope: str, offset
     near = F.lit(True) if most_days is None else F.coalesce(t - end, start - t) <= most_days
     held = F.when(near, F.coalesce(line("previous", end), line("next", start)))
     return rows.select(key, "t", F.when(inside, line("previous", t)).when(end.isNotNull() & start.isNotNull() & (start > t), between).otherwise(held).alias("value"))
+
+
+def extreme(segments: DataFrame, key: str, band: str, how: str, columns: Sequence[str]) -> DataFrame:
+    """Each pixel's segment of the least or largest value of a band; the earliest of equal ones."""
+    at = F.struct(F.col(band) if how == "min" else -F.col(band), "t_start")
+    picked = F.min_by(F.struct(*columns), F.when(F.col(band).isNotNull(), at))
+    return segments.groupBy(key).agg(picked.alias("_s")).select(key, "_s.*")
+
+
+def clicked(segments: DataFrame, dates: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """For each (key, t), the first segment with t_start <= t < t_end, else the first that ends after t."""
+    t = F.col("t")
+    inside = F.min_by(F.struct(*columns), F.when((F.col("t_start") <= t) & (t < F.col("t_end")), F.col("t_start")))
+    after = F.min_by(F.struct(*columns), F.when(F.col("t_end") > t, F.col("t_start")))
+    joined = dates.join(segments.select(key, *{"t_start", "t_end", *columns}), key, "left")
+    return joined.groupBy(key, "t").agg(F.coalesce(inside, after).alias("_s")).select(key, "t", "_s.*")
+
+
+def nearest(segments: DataFrame, dates: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """For each (key, t), the segment with the smallest gap to t, the earlier of equally near ones; 0 inside a segment."""
+    t = F.col("t")
+    gap = F.greatest(F.col("t_start") - t, t - F.col("t_end"), F.lit(0.0))
+    joined = dates.join(segments.select(key, *{"t_start", "t_end", *columns}), key, "left").withColumn("_gap", gap)
+    best = F.min_by(F.struct(*columns, F.col("_gap").alias("gap")), F.when(F.col("_gap").isNotNull(), F.struct("_gap", "t_start")))
+    return joined.groupBy(key, "t").agg(best.alias("_s")).select(key, "t", "_s.*")
+
+
+def range_slice(segments: DataFrame, key: str, start: float, end: float, mean: Column, rmse: str, count: str) -> DataFrame:
+    """``value`` and ``error`` over a range of dates: means weighted by the days that each segment covers of it.
+
+    ``mean`` may use ``lo`` and ``hi``, the ends of the part inside the range. A segment's error is its rmse over the root of its
+    observations, of which the part's share counts, one at least.
+    """
+    lo, hi = F.greatest("t_start", F.lit(start)), F.least("t_end", F.lit(end))
+    rows = segments.where((F.col("t_start") < end) & (F.col("t_end") > start)).withColumns({"lo": lo, "hi": hi})
+    days = F.col("hi") - F.col("lo")
+    share = days / F.nullif(F.col("t_end") - F.col("t_start"), F.lit(0.0))
+    error = F.col(rmse) / F.sqrt(F.greatest(F.col(count) * share, F.lit(1.0)))
+    whole = F.nullif(F.sum(days), F.lit(0.0))
+    return rows.groupBy(key).agg((F.sum(mean * days) / whole).alias("value"), (F.sum(error * days) / whole).alias("error"))
+
+
+def blended(segments: DataFrame, dates: DataFrame, key: str, coefs: str, harmonics: int) -> DataFrame:
+    """``value`` at each (key, t): a segment's own model inside it; between two, the straight line from the end of one
+    trend to the start of the next, with their waves blended by nearness; masked outside."""
+    from ..functions import harmonics as H
+
+    at = dates.select(key, "t").distinct()
+    columns = ["t_start", "t_end", coefs]
+    t, start, end = F.col("t"), F.col("t_start"), F.col("t_end")
+    picked = F.struct(*columns)
+    both = at.join(segments.select(key, *columns), key).groupBy(key, "t").agg(F.max_by(picked, F.when(start <= t, start)).alias("p"), F.min_by(picked, F.when(end > t, start)).alias("n"))
+    p, n = F.col("p"), F.col("n")
+    trend = lambda s, x: s[coefs][0] + s[coefs][1] * x
+    wave = lambda s: H.value(s[coefs], t, harmonics) - trend(s, t)
+    w = (t - p["t_end"]) / F.nullif(n["t_start"] - p["t_end"], F.lit(0.0))
+    line = trend(p, p["t_end"]) + w * (trend(n, n["t_start"]) - trend(p, p["t_end"]))
+    between = line + (1 - w) * wave(p) + w * wave(n)
+    return both.select(key, "t", F.when(p["t_end"] >= t, H.value(p[coefs], t, harmonics)).when(p.isNotNull() & n.isNotNull(), between).alias("value"))
+
+
+def slice_at(segments: DataFrame, dates: DataFrame, key: str, how: str, coefs: str, harmonics: int = 3) -> DataFrame:
+    """Bands of a slice through segments at dates: value, rmse, magnitude, confidence of the break, and the segment's dates."""
+    from ..functions import harmonics as H
+
+    found = lookup(segments, dates, key, how, ["t_start", "t_end", "t_break", "rmse", "magnitude", coefs])
+    sure = F.abs("magnitude") / F.nullif(F.col("rmse"), F.lit(0.0))
+    return found.select(key, "t", H.value(F.col(coefs), F.col("t"), harmonics).alias("value"), "rmse", "magnitude", sure.alias("break_confidence"), "t_start", "t_end", "t_break")

@@ -1,5 +1,7 @@
 """Queries over the standard tables; importing this package registers them."""
 
-from . import catalog, change, collections, expressions, learning, neighbourhoods, sampling, series, sinks, streams
+from . import accounts, catalog, change, clouds, collections, design, expressions, fits, learning, neighbourhoods, recipes, sampling, series, sinks, sources, streams
 
-__all__ = ["catalog", "change", "collections", "expressions", "learning", "neighbourhoods", "sampling", "series", "sinks", "streams"]
+__all__ = [
+    "accounts", "catalog", "change", "clouds", "collections", "design", "expressions", "fits", "learning", "neighbourhoods", "recipes", "sampling", "series", "sinks", "sources", "streams",
+]

@@ -85,7 +85,7 @@ _PNF = "least(greatest(exp(-pow((value-(50-40))/20,2)/2)/nullif(exp(-pow((value-
 
 
 @query(
-    f"""WITH RECURSIVE o AS (SELECT user_id AS pixel, ts, event_id, {_PNF} AS pnf, event_id % 2 + 1 AS orbit, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE value < 200),
+    f"""WITH RECURSIVE o AS (SELECT user_id AS pixel, ts, event_id, {_PNF} AS pnf, event_id % 2 + 1 AS orbit, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
     r AS (SELECT pixel, 0::BIGINT AS k, 0 AS flag, 0.0::DOUBLE AS p, 0.5::DOUBLE AS ppnf, 0::BIGINT AS porbit, NULL::TIMESTAMP AS since FROM (SELECT DISTINCT pixel FROM o)
       UNION ALL SELECT pixel, k, nf, np, pnf, CASE WHEN nf = 0 THEN 0 WHEN nf <> flag THEN orbit ELSE porbit END, CASE WHEN nf = 0 THEN NULL WHEN flag = 0 THEN ts ELSE since END FROM (
         SELECT *, CASE WHEN flag = 2 THEN 2 WHEN flag = 1 AND NOT same THEN 1 WHEN flag = 1 AND np < 0.5 THEN 0 WHEN flag = 1 AND np >= 0.975 THEN 2 WHEN flag = 1 THEN 1 WHEN pnf >= 0.6 AND np >= 0.975 THEN 2 WHEN pnf >= 0.6 THEN 1 ELSE 0 END AS nf FROM (
@@ -96,7 +96,7 @@ _PNF = "least(greatest(exp(-pow((value-(50-40))/20,2)/2)/nullif(exp(-pow((value-
 )
 def bayts_alerts(spark, d):
     pnf = alerts.change_probability(F.col("value"), F.lit(50.0), F.lit(10.0))
-    obs = table(spark, d, "events").where("value < 200").select(F.col("user_id").alias("pixel"), "ts", "event_id", pnf.alias("pnf"), (F.col("event_id") % 2 + 1).alias("orbit"))
+    obs = table(spark, d, "events").select(F.col("user_id").alias("pixel"), "ts", "event_id", pnf.alias("pnf"), (F.col("event_id") % 2 + 1).alias("orbit"))
     return alerts.bayesian_alerts(obs, "pixel", ["ts", "event_id"], "pnf", "orbit").withColumn("p", F.round("p", 6))
 
 

@@ -47,11 +47,11 @@ def sample_enrichment(spark, d):
 
 
 @query(
-    f"""{_SIZES}, c AS (SELECT c_mktsegment AS stratum, count(*) AS actual FROM customer WHERE c_custkey % 40 = 0 GROUP BY 1)
+    f"""{_SIZES}, c AS (SELECT c_mktsegment AS stratum, count(*) AS actual FROM customer WHERE c_acctbal < 0 GROUP BY 1)
     SELECT stratum, size, actual, CASE WHEN coalesce(actual,0) < 2 THEN 'BELOW_STATISTICAL_MINIMUM' WHEN coalesce(actual,0) < 5 THEN 'BELOW_CONFIGURED_MINIMUM' WHEN coalesce(actual,0) < size THEN 'BELOW_REQUESTED' ELSE 'VALID' END AS verdict FROM z LEFT JOIN c USING (stratum)"""
 )
 def final_count_classification(spark, d):
-    actual = cells(spark, d).where("cell % 40 = 0").groupBy("stratum").agg(F.count("*").alias("actual"))
+    actual = cells(spark, d).where("area < 0").groupBy("stratum").agg(F.count("*").alias("actual"))
     return S.classify_counts(sizes(spark, d).select("stratum", "size").join(actual, "stratum", "left"), 2, 5)
 
 

@@ -104,9 +104,9 @@ def segment_fixed_intervals(spark, d):
     return S.fixed_intervals(segments(spark, d), "pixel", 100.0)
 
 
-@query(f"WITH {_SEG}, x AS (SELECT *, unnest(generate_series(t_start::BIGINT, t_end::BIGINT)) AS t FROM s WHERE pixel <= 50) SELECT pixel, t, round(coefs[1]+coefs[2]*t,8) AS value, round(coefs[1]+coefs[2]*t-rmse,8) AS low, round(coefs[1]+coefs[2]*t+rmse,8) AS high FROM x")
+@query(f"WITH {_SEG}, x AS (SELECT *, unnest(generate_series(t_start::BIGINT, t_end::BIGINT)) AS t FROM s) SELECT pixel, t, round(coefs[1]+coefs[2]*t,8) AS value, round(coefs[1]+coefs[2]*t-rmse,8) AS low, round(coefs[1]+coefs[2]*t+rmse,8) AS high FROM x")
 def segment_daily(spark, d):
-    rows = S.daily(segments(spark, d).where("pixel <= 50"), "pixel", harmonics.value(F.col("coefs"), F.col("t"), 0), "rmse")
+    rows = S.daily(segments(spark, d), "pixel", harmonics.value(F.col("coefs"), F.col("t"), 0), "rmse")
     return rows.select("pixel", "t", *(F.round(c, 8).alias(c) for c in ("value", "low", "high")))
 
 
@@ -129,7 +129,7 @@ def date_conversions(spark, d):
 
 
 @query(
-    """WITH o AS (SELECT l_suppkey AS pixel, dayofyear(l_shipdate)::BIGINT AS doy, l_quantity AS v, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem WHERE l_linenumber = 1),
+    """WITH o AS (SELECT l_suppkey AS pixel, dayofyear(l_shipdate)::BIGINT AS doy, l_quantity AS v, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem),
     c AS (SELECT *, sum(v - m) OVER w AS cusum, row_number() OVER w AS i, count(*) OVER (PARTITION BY pixel) AS n FROM (SELECT *, avg(v) OVER (PARTITION BY pixel) AS m FROM o) WINDOW w AS (PARTITION BY pixel ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING))
     SELECT pixel, min_by(doy, (round(cusum,6), i)) AS node2, max_by(doy, (round(cusum,6), -i)) AS node4 FROM c WHERE i > 1 AND i < n GROUP BY 1"""
 )
@@ -138,7 +138,7 @@ def phenology_nodes(spark, d):
 
 
 def _seasonal(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber = 1")
+    li = table(spark, d, "lineitem")
     return li.select(F.col("l_suppkey").alias("pixel"), F.dayofyear("l_shipdate").cast("long").alias("doy"), F.col("l_quantity").alias("v"), "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
 
 
