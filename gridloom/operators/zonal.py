@@ -27,15 +27,19 @@ def fixed_histogram(df: DataFrame, band: str, low: float, high: float, buckets:
 def distinct_values(df: DataFrame, column: str, most: int) -> DataFrame:
     """Sorted distinct values; an error if there are more than a legend can hold."""
     found = df.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
-    if found.limit(most + 1).count() > most:
+    rows = found.limit(most + 1).collect()  # one run: at most a legend's values
+    if len(rows) > most:
         raise ValueError(f"{column} has more than {most} distinct values")
-    return found.orderBy("value")
+    return df.sparkSession.createDataFrame(sorted(rows), found.schema)
 
 
 def table_query(df: DataFrame, where: Column | None = None, distinct: Sequence[str] = (), sort: Sequence[str] = (), select: Sequence[str] = ()) -> DataFrame:
-    """Filter, distinct by columns, sorts applied in sequence (the last key dominates), projection."""
+    """Filter, distinct by columns (the least row of each, by its other columns), sorts applied in sequence (the last key
+    dominates), projection."""
     out = df if where is None else df.where(where)
-    out = out.dropDuplicates(list(distinct)) if distinct else out
+    if distinct:
+        rest = [c for c in out.columns if c not in distinct]
+        out = out.groupBy(*distinct).agg(F.min(F.struct(*rest)).alias("_row")).select(*distinct, "_row.*") if rest else out.distinct()
     out = out.orderBy(*reversed(sort)) if sort else out
     return out.select(*select) if select else out
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
+from ..operators import accounts
 from ..operators import catalog as C
 from ..registry import query, table
 
@@ -194,21 +195,20 @@ def dataset_search(spark, d):
     return p.where(text.matches_all(["red", "ECON"], F.col("p_name"), F.col("p_type"))).orderBy("p_name", "p_partkey").limit(10).select("p_partkey", "p_name")
 
 
-@query("SELECT o_orderkey, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3' OR n_name LIKE '%A%' ")
+@query("SELECT o_orderkey, n_name, row_number() OVER (ORDER BY n_name, o_orderdate DESC, o_orderkey) AS place FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3' OR n_name LIKE '%A%' ")
 def recipe_list(spark, d):
+    """Recipes by name, the latest first."""
     o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
     named = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
     rows = o.join(named, F.col("o_custkey") == F.col("c_custkey"), "left").where((F.col("n_name") == "NATION_3") | F.col("n_name").like("%A%"))
-    return rows.select("o_orderkey", "n_name")
+    return accounts.placed(rows.select("o_orderkey", "n_name", "o_orderdate"), ["n_name", F.desc("o_orderdate"), "o_orderkey"]).drop("o_orderdate")
 
 
 @query("SELECT s_name, row_number() OVER (ORDER BY s_suppkey % 4 <> 0, regexp_replace(s_name, '[0-9].*$', ''), lpad(regexp_extract(s_name, '([0-9]+)', 1), 12, '0'), s_name) AS place FROM supplier")
 def file_list(spark, d):
-    from pyspark.sql import Window
-
-    s = table(spark, d, "supplier")
-    order = Window.orderBy(F.col("s_suppkey") % 4 != 0, text.natural(F.col("s_name")), "s_name")
-    return s.select("s_name", F.row_number().over(order).cast("long").alias("place"))
+    """Folders first, then by the natural order of names."""
+    s = table(spark, d, "supplier").select("s_name", (F.col("s_suppkey") % 4 != 0).alias("_file"), text.natural(F.col("s_name")).alias("_key"))
+    return accounts.placed(s, ["_file", "_key", "s_name"]).select("s_name", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT user_id, event_id, date_diff('second', date_trunc('second', ts), date_trunc('second', n)) AS gap FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE date_diff('second', date_trunc('second', ts), date_trunc('second', n)) > 7200")
@@ -221,11 +221,10 @@ def inactivity_gaps(spark, d):
     return e.select("user_id", "event_id", gap.alias("gap")).where("gap > 7200")
 
 
-@query("SELECT user_id, event_id, sum(CASE WHEN event_type = 'signup' THEN 1 WHEN event_type = 'error' THEN -1 ELSE 0 END)::BIGINT AS dummy, sum(CASE WHEN event_type IN ('click','view') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS pending FROM events GROUP BY user_id, event_id, event_type, ts")
+@query("SELECT user_id, event_id, sum(CASE WHEN event_type IN ('click','view') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS pending FROM events")
 def running_state(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    one = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0)
     seen = F.sum(F.col("event_type").isin("click", "view").cast("int")).over(w)
-    return table(spark, d, "events").select("user_id", "event_id", one.cast("long").alias("dummy"), seen.alias("pending"))
+    return table(spark, d, "events").select("user_id", "event_id", seen.alias("pending"))

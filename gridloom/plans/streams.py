@@ -12,14 +12,14 @@ _NTZ = "timestamp_ntz"
 
 @query("SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS start, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1, 2")
 def stream_last_in_window(spark, d):
-    rows = S.last_in_window(S.read_events(spark, f"{d}/events.parquet"), "user_id", "1 day", ["ts", "event_id"], ["event_type"], late="400 days")
+    rows = S.last_in_window(S.read_events(spark, f"{d}/events.parquet"), "user_id", "1 day", ["ts", "event_id"], ["event_type"], late="7 days")
     return S.run_now(rows, ["user_id", "start"], name="last").select("user_id", F.col("start").cast(_NTZ).alias("start"), "event_type")
 
 
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) WHERE was IS NULL OR was <> event_type")
 def stream_changes_only(spark, d):
     events = S.read_events(spark, f"{d}/events.parquet").select("user_id", "event_id", "event_type", "ts")
-    return S.run_now(S.changes_only(events, "user_id", "event_type", ["ts", "event_id"]), ["event_id"], mode="append", name="changes").select("event_id", "user_id", "event_type")
+    return S.changes_now(events, "user_id", "event_type", ["ts", "event_id"]).select("event_id", "user_id", "event_type")
 
 
 @query(

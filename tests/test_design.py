@@ -120,3 +120,14 @@ def test_places_and_kept_alerts(spark):
     assert got == sorted(got) and len(got) == 100
     rows = spark.createDataFrame([(1, 5, 3, 9), (2, 1, 3, 9), (3, 5, 9, 9), (4, None, 1, 2)], "pixel int, confirmation int, last_stable int, last_detection int")
     assert [r.pixel for r in alerts.kept_alerts(rows, F.lit(4)).collect()] == [1]
+
+
+def test_changes_across_micro_batches(spark, tmp_path):
+    from gridloom.streaming import state
+
+    rows = [(1, "a", 1), (1, "a", 2), (2, "x", 1), (1, "b", 3), (2, "x", 2), (3, None, 1), (1, "b", 4), (2, "y", 3), (1, "a", 5)]
+    for n in range(0, 9, 3):
+        spark.createDataFrame(rows[n : n + 3], "k long, s string, t long").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema("k long, s string, t long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    got = sorted((r.k, r.t) for r in state.changes_now(stream, "k", "s", ["t"]).collect())
+    assert got == [(1, 1), (1, 3), (1, 5), (2, 1), (2, 3), (3, 1)]
