@@ -68,3 +68,14 @@ def from_fractional_year(y: Column) -> Column:
 def from_julian_day(day: Column) -> Column:
     """The time of a day number that counts from year 0, to the second."""
     return F.timestamp_seconds(F.round((day - EPOCH_DAY) * 86400).cast("long"))
+
+
+def two_months(t: Column, month: int) -> Column:
+    """Dates of a month and the one after it; of December itself alone, as there is no month 13."""
+    return F.month(t).isin(month, month + 1)
+
+
+def monitoring(end: Column, monitoring_months: int, calibration_months: int) -> list[Column]:
+    """``monitoring_end, monitoring_start, calibration_start`` from the end and the durations before it."""
+    start = F.add_months(end, -monitoring_months)
+    return [end.alias("monitoring_end"), start.alias("monitoring_start"), F.add_months(start, -calibration_months).alias("calibration_start")]

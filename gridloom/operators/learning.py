@@ -82,3 +82,26 @@ def cluster(pixels: DataFrame, features: Sequence[str], k: int) -> DataFrame:
 def rules(tree: dict) -> F.Column:
     """A decision tree ``{test, yes, no}`` (SQL tests; leaves are classes) as one expression."""
     return F.lit(tree) if not isinstance(tree, dict) else F.when(F.expr(tree["test"]), rules(tree["yes"])).otherwise(rules(tree["no"]))
+
+
+def mapped_class(row_filter: F.Column | None, mapping: dict, column: str, default: int | None = None) -> F.Column:
+    """The class of a training row by the value of one column; rows that the filter leaves out, and values without a class, have the default."""
+    out = F.lit(default).cast("int")
+    for value, cls in mapping.items():
+        out = F.when(F.col(column) == value, F.lit(cls)).otherwise(out)
+    return out if row_filter is None else F.when(row_filter, out)
+
+
+def one_hot_class(columns: dict[str, int], default: int | None = None) -> F.Column:
+    """The class whose column is set (not 0), the first of several."""
+    out = F.lit(default).cast("int")
+    for column, cls in reversed(columns.items()):
+        out = F.when(F.coalesce(F.col(column) != 0, F.lit(False)), F.lit(cls)).otherwise(out)
+    return out
+
+
+def next_points(pixels: DataFrame, cls: str, probability: str, keys: Sequence[str], seed: str, most: float = 75, n: int = 5) -> DataFrame:
+    """``n`` pixels of each class among those of a probability below ``most`` per cent, by a seeded rank."""
+    from .design import sample_classes
+
+    return sample_classes(pixels.where(F.col(probability) < most), cls, n, keys, seed)

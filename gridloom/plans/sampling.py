@@ -97,10 +97,9 @@ def systematic_lattice(spark, d):
 
 @query("SELECT stratum, cell FROM (SELECT c_mktsegment AS stratum, c_custkey AS cell, row_number() OVER (PARTITION BY c_mktsegment ORDER BY ('0x'||substr(md5('s:'||c_custkey),1,8))::BIGINT, c_custkey) AS k FROM customer) WHERE k <= 5")
 def image_sample_per_class(spark, d):
-    from pyspark.sql import Window
+    from ..operators.design import sample_classes
 
-    w = Window.partitionBy("stratum").orderBy(S.rank_column("s", F.col("cell")), "cell")
-    return cells(spark, d).withColumn("k", F.row_number().over(w)).where("k <= 5").select("stratum", "cell")
+    return sample_classes(cells(spark, d), "stratum", 5, ["cell"], "s").select("stratum", "cell")
 
 
 @query("SELECT n_name, s.missing FROM (SELECT n_nationkey, n_nationkey NOT IN (SELECT s_nationkey FROM supplier) AS missing FROM nation) s JOIN nation USING (n_nationkey)")

@@ -117,3 +117,9 @@ def centred(df: DataFrame, key: str, order: str, mid, n: int) -> DataFrame:
     before_take = n + F.greatest(F.lit(0), n - F.col("_a"))
     after_take = n + F.greatest(F.lit(0), n - F.col("_b"))
     return rows.where(F.col("_rank") <= F.when(F.col("_after"), after_take).otherwise(before_take)).drop("_after", "_rank", "_a", "_b")
+
+
+def clipped(df: DataFrame, x: str, y: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """Rows whose place lies in a box (x0, y0, x1, y1), its edges included: a filter that reaches the scan."""
+    x0, y0, x1, y1 = box
+    return df.where(F.col(x).between(x0, x1) & F.col(y).between(y0, y1))
