@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 #: Runs in which a space does not simply lead a word.
 _RUN = re.compile(r"\s \s|\s \Z")
 #: Chunks kept in a worker's memo before it starts anew.
-MEMO = 100_000
+MEMO = 200_000
 #: The pre-token pattern that byte-level BPE vocabularies of this family share (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 
-from gridloom.llm import imatch, langid, packing, shingles, simhash
+from gridloom.llm import imatch, langid, packing, shingles
 
 
 def test_ridge_scores_are_those_of_the_method():
@@ -140,8 +140,8 @@ def test_knapsack_equals_brute_force():
 
 def test_fingerprints_of_sets_are_simhashes(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "x y"), (3, "")], "doc_id long, text string")
-    sets = shingles.shingle_sets(docs, "doc_id", "text").select("h", "marks")
-    prints = {r.h: r.fp for r in simhash.fingerprints_of_sets(sets).collect()}
-    for r in sets.collect():
-        votes = [sum(m >> i & 1 for m in r.marks) for i in range(64)]
-        assert prints[r.h] & (1 << 64) - 1 == sum(1 << i for i in range(64) if 2 * votes[i] > len(r.marks))
+    marks = {r.id: r.marks for r in shingles.shingle_sets(docs, "doc_id", "text").collect()}
+    for r in shingles.set_rows(docs, "doc_id", "text").collect():
+        votes = [sum(m >> i & 1 for m in marks[r.id]) for i in range(64)]
+        assert r.fp & (1 << 64) - 1 == sum(1 << i for i in range(64) if 2 * votes[i] > len(marks[r.id]))
+        assert (r.n, r["keys"]) == (len(marks[r.id]), sorted(marks[r.id])[: shingles.KEYS])
