@@ -33,7 +33,7 @@ CLASSES = 155
 
 
 def _classes() -> np.ndarray:
-    table = np.zeros(256, np.int32)
+    table = np.zeros(256, np.uint8)
     table[97:123] = np.arange(1, 27)
     table[128:] = np.arange(27, CLASSES)
     return table
@@ -46,7 +46,7 @@ def grams(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """1-, 2- and 3-gram codes of the text's bytes, a chunk at a time (chunks overlap by two bytes)."""
     raw = np.frombuffer((" " + text.lower() + " ").encode("utf-8", "ignore"), np.uint8)
     for at in range(0, max(len(raw) - 2, 1), CHUNK):
-        c = _CLASS[raw[at : at + CHUNK + 2]]
+        c = _CLASS[raw[at : at + CHUNK + 2]].astype(np.int32)
         two = c[:-1] * CLASSES + c[1:]
         yield c, two, two[:-1] * CLASSES + c[2:]
 
