@@ -47,7 +47,7 @@ def haze_score(b: Mapping[str, Column], aerosol: Column, cirrus: Column) -> Colu
     return F.when(variability.isNotNull(), F.greatest(1 - (haze + variability + cirrus / 0.04 + thick) / 10, F.lit(0.0)))
 
 
-def sepal_cloud(b: Mapping[str, Column], threshold: float, aerosol: Column, haze: Column) -> Column:
+def cloud_by_score(b: Mapping[str, Column], threshold: float, aerosol: Column, haze: Column) -> Column:
     """Cloud by score: neither soil nor snow, and bright, or somewhat bright under much aerosol, or all haze."""
     score = indexes.cloud_score(dict(b), aerosol)
     return ~indexes.soil(dict(b)) & ~indexes.snow(dict(b)) & ((score > threshold / 100) | ((score > 0) & (aerosol > 0.2)) | (haze == 0))

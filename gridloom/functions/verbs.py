@@ -13,9 +13,11 @@ def bands_of(df: DataFrame, keys: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c not in keys]
 
 
-def list_columns(df: DataFrame) -> list[str]:
-    """Names in alphabetical order."""
-    return sorted(df.columns)
+def first_row_columns(df: DataFrame, order: Sequence[str], properties: Sequence[str]) -> DataFrame:
+    """``(name, place)``: names of the properties that the first row has, in alphabetical order; an empty table has none."""
+    first = df.orderBy(*order).limit(1)
+    names = F.filter(F.array(*(F.when(F.col(p).isNotNull(), F.lit(p)) for p in sorted(properties))), lambda n: n.isNotNull())
+    return first.select(F.posexplode(names).alias("place", "name")).select("name", "place")
 
 
 def select_bands(df: DataFrame, keys: Sequence[str], bands: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:

@@ -71,12 +71,23 @@ def silent(lines: DataFrame, tag: str, at: str, order: Sequence[str], timeout: i
     return rows.where(F.col("_next").isNull() | (F.col("_next") > until)).select(tag, until.alias("fires_at"))
 
 
-def rescan_delay(scans: DataFrame, key: str, order: Sequence[str], size: str, delay: float, faster: float, slower: float, least: float, most: float) -> DataFrame:
-    """The delay to the next scan: shorter after a change of size, longer without, within bounds (no random part)."""
-    before = F.lag(size).over(Window.partitionBy(key).orderBy(*order))
-    rows = scans.withColumn("_before", before).where(F.col("_before").isNotNull())
-    factor = F.when(F.col(size) != F.col("_before"), faster).otherwise(slower)
-    return rows.withColumn("delay", F.least(F.greatest(factor * delay, F.lit(least)), F.lit(most))).drop("_before")
+def rescan_delay(scans: DataFrame, key: str, order: Sequence[str], size: str, active: str, factor: float, least: float, most: float) -> DataFrame:
+    """``scans`` with the ``delay`` to the next scan of the same key (without its random part).
+
+    A scan while the key is ``active`` is followed by the least delay. Otherwise a changed size (the first one is a change) gives
+    the least delay and an unchanged one the delay last used times ``factor``, until the most is reached: there it stays,
+    whatever the size does, until the key is active again. Runs are counted by sorted windows, so no key is gathered.
+    """
+    whole = Window.partitionBy(key).orderBy(*order)
+    so_far = whole.rowsBetween(Window.unboundedPreceding, 0)
+    before = F.lag(size).over(whole)
+    changed = F.col(active) | before.isNull() | (F.col(size) != before)
+    rows = scans.withColumns({"_changed": changed, "_stay": F.sum(F.col(active).cast("int")).over(so_far)})
+    rows = rows.withColumn("_run", F.sum(F.col("_changed").cast("int")).over(so_far))
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(key, "_run").orderBy(*order)) - 1)
+    grown = F.least(F.lit(least) * F.pow(F.lit(factor), F.col("_k")), F.lit(most))
+    reached = F.max((grown >= most).cast("int")).over(Window.partitionBy(key, "_stay").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("delay", F.when(reached == 1, F.lit(most)).otherwise(grown)).drop("_changed", "_stay", "_run", "_k")
 
 
 def inactivity_state(df: DataFrame, last: str, now: str, note: int, notify: int, erase: int) -> DataFrame:

@@ -59,6 +59,17 @@ def least_samples(strategy: str, configured: int | None, manual: bool = False) -
     return FLOOR if strategy == "EQUAL" or manual or configured is None else max(FLOOR, configured)
 
 
+def least_samples_column(strategy: str, configured: str, manual: str) -> Column:
+    """``least_samples`` of many designs, as columns."""
+    floor_only = (F.col(strategy) == "EQUAL") | F.col(manual) | F.col(configured).isNull()
+    return F.when(floor_only, F.lit(FLOOR)).otherwise(F.greatest(F.lit(FLOOR), F.col(configured)))
+
+
+def outcome_status(n: str, strata: int, least: Column) -> Column:
+    """Status of ``outcome`` for many designs whose size is known, or null where no size reaches the margin."""
+    return F.when(F.col(n).isNull(), "MARGIN_UNREACHABLE").when(F.col(n) < least * strata, "SAMPLE_TOO_SMALL").otherwise("OK")
+
+
 def outcome(n: int | None, margin: float | None, weights: Sequence[float], shares: Sequence[float], confidence: float, strategy: str, configured: int | None = None) -> dict:
     """Sizes of strata and their margin of error, from a sample size or from the margin wanted; or why there are none."""
     least = least_samples(strategy, configured)
@@ -114,12 +125,11 @@ def unstratified_random(cells: DataFrame, n: int, keys: Sequence[str], seed: str
     return rows.withColumn("id", F.concat_ws("_", *(F.col(k).cast("string") for k in keys), "index")).select(*cells.columns, "index", "id")
 
 
-def origin_phase(seed: str, step: float) -> tuple[float, float]:
-    """Shift of a lattice's origin within a step each way, from a seed: the same on every run."""
-    import hashlib
-
-    half = [int(hashlib.md5(f"{seed}/{axis}".encode()).hexdigest()[:8], 16) / 2**32 for axis in "xy"]
-    return half[0] * step, half[1] * step
+def origin_phases(df: DataFrame, seed: str, step: str) -> DataFrame:
+    """``df`` with the seeded origin of each row's lattice: ``phase_x`` and ``phase_y`` within the ``step`` column, and the whole
+    phases ``phase_i`` (of 16) and ``phase_j`` (of 32) that the nested levels are counted from. The same on every run."""
+    u = lambda axis: hashing.uniform("origin", F.col(seed), F.lit(axis))
+    return df.withColumns({"phase_x": u("x") * F.col(step), "phase_y": u("y") * F.col(step), "phase_i": F.floor(u("i") * 16).cast("int"), "phase_j": F.floor(u("j") * 32).cast("int")})
 
 
 def lattice_exponent(area: float, n: int, least_distance: float, offset: int = 0, slack: float = 0.75) -> int:
@@ -128,11 +138,26 @@ def lattice_exponent(area: float, n: int, least_distance: float, offset: int = 0
     return max(math.floor(math.log2(wanted)) - offset, math.ceil(math.log2(least_distance / math.sqrt(3))))
 
 
-def repair_offset(requested: int, raw: int, most: int = 8) -> int:
-    """How many times denser (in powers of two of the diameter) a lattice must be for strata that came out short."""
-    if raw >= requested:
-        return 0
-    return min(most, (math.ceil(math.log(requested / max(raw, 1), 4)) if raw else most - 1) + 1)
+def repair_offsets(counts: DataFrame, base: int = 0, safety: int = 1) -> DataFrame:
+    """``(stratum, short, extra, target, repairable)`` of strata ``(stratum, requested, raw, finest)``: how many times denser, in
+    powers of two of the diameter, a lattice must be where fewer candidates came out than were asked for.
+
+    Each power quadruples the candidates. A stratum goes no further than its own ``finest`` offset (null: no limit), and one
+    that is there already cannot be repaired. No candidates count as one.
+    """
+    raw = F.greatest(F.coalesce("raw", F.lit(0)), F.lit(1))
+    short = F.coalesce("raw", F.lit(0)) < F.col("requested")
+    # the least power of four that covers the deficit, in whole numbers
+    extra = F.aggregate(F.sequence(F.lit(0), F.lit(30)), F.lit(0), lambda s, k: F.when(raw * F.pow(F.lit(4.0), k) < F.col("requested"), k + 1).otherwise(s))
+    limit = F.coalesce("finest", F.lit(1 << 30))
+    rows = counts.withColumns({"short": short, "extra": F.when(short, extra).otherwise(0)})
+    target = F.when(F.col("short"), F.greatest(F.lit(base), F.least(base + F.col("extra") + safety, limit))).otherwise(base)
+    return rows.select("stratum", "short", "extra", target.cast("int").alias("target"), (~F.col("short") | (limit > base)).alias("repairable"))
+
+
+def repair_offset(offsets: DataFrame) -> DataFrame:
+    """One row: the offset of the single repair, the most that any stratum needs, and how many strata it cannot help."""
+    return offsets.agg(F.max("target").alias("target"), F.count_if(~F.col("repairable")).alias("beyond_repair"))
 
 
 def candidates(frame: DataFrame, exponents: DataFrame, stratum: str, finest: int) -> DataFrame:

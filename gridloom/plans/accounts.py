@@ -98,12 +98,14 @@ def dead_man_rule(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT user_id, ts, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
-    SELECT user_id, event_id, round(least(greatest(600.0 * CASE WHEN value <> before THEN 0.5 ELSE 2.0 END, 400.0), 1000.0), 6) AS delay FROM r WHERE before IS NOT NULL"""
+    """WITH RECURSIVE r AS (SELECT user_id, event_id, floor(value / 50) AS size, event_type = 'purchase' AS active, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    w AS (SELECT user_id, event_id, i, size, 600.0::DOUBLE AS delay FROM r WHERE i = 1
+      UNION ALL SELECT r.user_id, r.event_id, r.i, r.size, CASE WHEN r.active THEN 600.0 WHEN w.delay >= 2000 THEN 2000.0 WHEN r.size <> w.size THEN 600.0 ELSE greatest(least(w.delay * 1.5, 2000.0), 600.0) END FROM w JOIN r ON r.user_id = w.user_id AND r.i = w.i + 1)
+    SELECT user_id, event_id, round(delay, 6) AS delay FROM w"""
 )
 def rescan_delay(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_id", "ts", "value")
-    return A.rescan_delay(e, "user_id", ["ts", "event_id"], "value", 600.0, 0.5, 2.0, 400.0, 1000.0).select("user_id", "event_id", F.round("delay", 6).alias("delay"))
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", F.floor(F.col("value") / 50).alias("size"), (F.col("event_type") == "purchase").alias("active"))
+    return A.rescan_delay(e, "user_id", ["ts", "event_id"], "size", "active", 1.5, 600.0, 2000.0).select("user_id", "event_id", F.round("delay", 6).alias("delay"))
 
 
 @query(

@@ -50,7 +50,7 @@ def haze_scores(spark, d):
 )
 def cloud_by_score(spark, d):
     b = {n: F.col(n) for n in ("blue", "green", "red", "nir", "swir1", "swir2")}
-    return bands(spark, d).select("l_orderkey", "l_linenumber", clouds.sepal_cloud(b, 25, F.col("red"), F.lit(1.0)).alias("cloud"))
+    return bands(spark, d).select("l_orderkey", "l_linenumber", clouds.cloud_by_score(b, 25, F.col("red"), F.lit(1.0)).alias("cloud"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0.06 THEN 51 WHEN l_discount > 0.05 THEN 37 WHEN l_quantity > 25 THEN 12 ELSE 0 END::INTEGER AS code, CASE WHEN l_tax > 0.06 OR l_discount > 0.05 THEN false ELSE l_quantity > 25 END AS cloud FROM lineitem")

@@ -74,21 +74,32 @@ def stratum_proportions(spark, d):
     return spark.createDataFrame([(s, round(a, 6), round(b, 6)) for s, a, b in made], "stratum string, plain double, scaled double")
 
 
-@query("SELECT * FROM (VALUES ('EQUAL', 2), ('OPTIMAL', 8), ('OPTIMAL_LOW', 2), ('MANUAL', 2)) v(rule, least)")
+_DESIGNS = "g AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'EQUAL' WHEN 'O' THEN 'OPTIMAL' ELSE 'PROPORTIONAL' END AS strategy, CASE WHEN o_orderkey % 4 > 0 THEN substr(o_orderpriority, 1, 1)::INT * 2 - 1 END AS configured, o_orderkey % 3 = 0 AS manual, CASE WHEN o_orderkey % 5 > 0 THEN (o_totalprice / 5000)::INT END AS n FROM orders)"
+_LEAST = "CASE WHEN strategy = 'EQUAL' OR manual OR configured IS NULL THEN 2 ELSE greatest(2, configured) END"
+
+
+def _designs(spark, d):
+    """Each order stands for a design: its status for the strategy, its priority for the configured minimum, its price for the size."""
+    o = table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    strategy = F.when(F.col("o_orderstatus") == "F", "EQUAL").when(F.col("o_orderstatus") == "O", "OPTIMAL").otherwise("PROPORTIONAL")
+    configured = F.when(key % 4 > 0, F.substring("o_orderpriority", 1, 1).cast("int") * 2 - 1)
+    return o.select(key.alias("id"), strategy.alias("strategy"), configured.alias("configured"), (key % 3 == 0).alias("manual"), F.when(key % 5 > 0, F.round(F.col("o_totalprice") / 5000).cast("int")).alias("n"))
+
+
+@query(f"WITH {_DESIGNS} SELECT id, {_LEAST} AS least FROM g")
 def minimum_rule(spark, d):
-    rows = [("EQUAL", D.least_samples("EQUAL", 8)), ("OPTIMAL", D.least_samples("OPTIMAL", 8)), ("OPTIMAL_LOW", D.least_samples("OPTIMAL", 1)), ("MANUAL", D.least_samples("OPTIMAL", 8, manual=True))]
-    return spark.createDataFrame(rows, "rule string, least int")
+    return _designs(spark, d).select("id", D.least_samples_column("strategy", "configured", "manual").alias("least"))
 
 
-@query("SELECT * FROM (VALUES ('small', 'SAMPLE_TOO_SMALL', 0), ('given', 'OK', 100), ('none', 'MARGIN_UNREACHABLE', 0)) v(case_, status, total)")
+@query(f"WITH {_DESIGNS} SELECT id, CASE WHEN n IS NULL THEN 'MARGIN_UNREACHABLE' WHEN n < 5 * ({_LEAST}) THEN 'SAMPLE_TOO_SMALL' ELSE 'OK' END AS status FROM g")
 def allocation_outcomes(spark, d):
-    w = weights(spark, d)
-    ws, ps = [x[1] for x in w], [x[2] for x in w]
-    made = {"small": D.outcome(5, None, ws, ps, 0.95, "OPTIMAL", 4), "given": D.outcome(100, None, ws, ps, 0.95, "PROPORTIONAL"), "none": D.outcome(None, None, ws, ps, 0.95, "EQUAL")}
-    return spark.createDataFrame([(k, v["status"], sum(v["sizes"])) for k, v in made.items()], "case_ string, status string, total int")
+    """Designs over five strata."""
+    least = D.least_samples_column("strategy", "configured", "manual")
+    return _designs(spark, d).select("id", D.outcome_status("n", 5, least).alias("status"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT c_custkey) AS keys, true AS intact FROM customer")
+@query("SELECT count(*) AS n, count(DISTINCT c_custkey) AS keys, count(*) = count(DISTINCT c_custkey) AS intact FROM customer")
 def sample_integrity(spark, d):
     return D.integrity(cells(spark, d), "cell")
 
@@ -127,9 +138,39 @@ def systematic_exact_sample(spark, d):
     return D.exact_sample(c, chosen, "stratum", "level", wanted, "x", ["cell"]).select("stratum", "cell")
 
 
-@query("SELECT * FROM (VALUES (100, 100, 0), (100, 30, 2), (100, 1, 5), (100, 0, 8)) v(requested, raw, offset_)")
+_COUNTS = "k AS (SELECT n_name AS stratum, 20 * (1 + n_nationkey % 13) AS requested, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 400 * n_nationkey) AS raw, CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey % 5 - 1 END AS finest FROM nation)"
+
+
+def _counts(spark, d):
+    n, c = table(spark, d, "nation"), table(spark, d, "customer")
+    raw = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).where(F.col("c_acctbal") > 400 * F.col("n_nationkey")).groupBy(F.col("n_nationkey").alias("k")).agg(F.count("*").alias("raw"))
+    key = F.col("n_nationkey")
+    return n.join(raw, F.col("k") == key, "left").select(F.col("n_name").alias("stratum"), (20 * (1 + key % 13)).alias("requested"), "raw", F.when(key % 5 > 0, key % 5 - 1).alias("finest"))
+
+
+_OFFSETS = f"""{_COUNTS}, e AS (SELECT *, CASE WHEN raw >= requested THEN 0 ELSE (SELECT min(x) FROM generate_series(0, 30) g(x) WHERE greatest(raw, 1) * pow(4, x) >= requested) END AS extra FROM k),
+    o AS (SELECT stratum, raw < requested AS short, extra::INT AS extra, CASE WHEN raw < requested THEN least(extra + 1, coalesce(finest, 99)) ELSE 0 END::INT AS target, raw >= requested OR coalesce(finest, 99) > 0 AS repairable FROM e)"""
+
+
+@query(f"WITH {_OFFSETS} SELECT * FROM o")
 def repair_offsets(spark, d):
-    return spark.createDataFrame([(100, r, D.repair_offset(100, r)) for r in (100, 30, 1, 0)], "requested int, raw int, offset_ int")
+    """Nations are strata, their customers of enough balance candidates: some have none, some cannot be made denser."""
+    return D.repair_offsets(_counts(spark, d))
+
+
+@query(f"WITH {_OFFSETS} SELECT max(target) AS target, count_if(NOT repairable)::BIGINT AS beyond_repair FROM o")
+def repair_offset(spark, d):
+    return D.repair_offset(D.repair_offsets(_counts(spark, d)))
+
+
+_U = "('0x' || substr(md5('origin:' || n_name || ':{}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query(f"SELECT n_name AS stratum, round({_U.format('x')} * (100 + n_nationkey), 9) AS phase_x, round({_U.format('y')} * (100 + n_nationkey), 9) AS phase_y, floor({_U.format('i')} * 16)::INT AS phase_i, floor({_U.format('j')} * 32)::INT AS phase_j FROM nation")
+def origin_phases(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_name").alias("stratum"), (F.lit(100.0) + F.col("n_nationkey")).alias("step"))
+    out = D.origin_phases(n, "stratum", "step")
+    return out.select("stratum", F.round("phase_x", 9).alias("phase_x"), F.round("phase_y", 9).alias("phase_y"), "phase_i", "phase_j")
 
 
 @query()

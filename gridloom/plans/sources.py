@@ -35,20 +35,32 @@ def optical_selected_scenes(spark, d):
     return S.selected_scenes(_sets(spark, d), chosen, KEYS)
 
 
-@query("SELECT * FROM (VALUES (0, 'LANDSAT_4'), (1, 'LANDSAT_4_T2'), (2, 'LANDSAT_5'), (3, 'LANDSAT_5_T2'), (4, 'LANDSAT_8'), (5, 'LANDSAT_8_T2'), (6, 'LANDSAT_7_T2')) v(place, data_set)")
+@query(
+    """WITH s AS (SELECT o_orderkey AS scene, ['LANDSAT_TM', 'LANDSAT_8', 'LANDSAT_7_T2', 'SENTINEL_2'][1 + o_orderkey % 4] AS source, o_orderstatus = 'F' AS tier2 FROM orders),
+    m(source, base) AS (VALUES ('LANDSAT_TM', 'LANDSAT_4'), ('LANDSAT_TM', 'LANDSAT_5'), ('LANDSAT_8', 'LANDSAT_8'), ('LANDSAT_7_T2', 'LANDSAT_7_T2'), ('SENTINEL_2', 'SENTINEL_2'))
+    SELECT scene, base AS data_set FROM s JOIN m USING (source) UNION ALL SELECT scene, base || '_T2' FROM s JOIN m USING (source) WHERE tier2 AND NOT source LIKE '%_T2'"""
+)
 def data_set_aliases(spark, d):
-    return spark.createDataFrame(list(enumerate(S.data_sets(["LANDSAT_TM", "LANDSAT_8"], True) + S.data_sets(["LANDSAT_7_T2"]))), "place int, data_set string")
+    """Each order names a source by its key; finished ones want the second tier too."""
+    names = F.array(*map(F.lit, ("LANDSAT_TM", "LANDSAT_8", "LANDSAT_7_T2", "SENTINEL_2")))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("scene"), F.get(names, (F.col("o_orderkey") % 4).cast("int")).alias("source"), (F.col("o_orderstatus") == "F").alias("tier2"))
+    return S.aliased(o, "source", F.col("tier2")).select("scene", "data_set")
 
 
-@query("SELECT true AS has_imagery UNION ALL SELECT false")
+@query("SELECT count(*) > 0 AS has_imagery FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' UNION ALL SELECT count(*) > 0 FROM lineitem WHERE l_shipdate >= TIMESTAMP '2195-01-01'")
 def has_imagery(spark, d):
     li = table(spark, d, "lineitem")
     return S.has_imagery(li.where(F.col("l_shipdate") >= "1995-01-01")).unionAll(S.has_imagery(li.where(F.col("l_shipdate") >= "2195-01-01")))
 
 
-@query("SELECT unnest(['o_custkey','o_orderdate','o_orderkey','o_orderpriority','o_orderstatus','o_totalprice']) AS name, unnest([0,1,2,3,4,5])::INTEGER AS place")
+@query(
+    """WITH f AS (SELECT event_id, event_type, user_id, CASE WHEN value > 100 THEN value END AS value, props FROM events ORDER BY ts, event_id LIMIT 1), k AS (SELECT unnest(json_keys(to_json(f))) AS name, unnest([x IS NOT NULL FOR x IN [event_id::VARCHAR, event_type, user_id::VARCHAR, value::VARCHAR, props]]) AS has FROM f)
+    SELECT name, (row_number() OVER (ORDER BY name) - 1)::INT AS place FROM k WHERE has"""
+)
 def column_list(spark, d):
-    return spark.createDataFrame([(n, i) for i, n in enumerate(verbs.list_columns(table(spark, d, "orders")))], "name string, place int")
+    """Properties of the earliest event: a missing value is no property."""
+    e = table(spark, d, "events")
+    return verbs.first_row_columns(e.select("event_id", "event_type", "user_id", F.when(F.col("value") > 100, F.col("value")).alias("value"), "props", "ts"), ["ts", "event_id"], ["event_id", "event_type", "user_id", "value", "props"])
 
 
 @query("SELECT o_orderkey AS scene, o_custkey AS owner, l_quantity AS probability FROM orders LEFT JOIN (SELECT l_orderkey, l_quantity FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 10) ON l_orderkey = o_orderkey")
@@ -104,7 +116,7 @@ def planet_daily_union(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT o_custkey AS pixel, o_totalprice AS v, o_orderdate >= TIMESTAMP '1996-06-01' AS a, row_number() OVER (PARTITION BY o_custkey, o_orderdate >= TIMESTAMP '1996-06-01' ORDER BY CASE WHEN o_orderdate >= TIMESTAMP '1996-06-01' THEN epoch_us(o_orderdate) * 10 + o_orderkey / 1e9 ELSE -(epoch_us(o_orderdate) * 10 + o_orderkey / 1e9) END) AS k, o_orderkey FROM orders),
+    """WITH r AS (SELECT o_custkey AS pixel, o_totalprice AS v, o_orderdate >= TIMESTAMP '1996-06-01' AS a, row_number() OVER (PARTITION BY o_custkey, o_orderdate >= TIMESTAMP '1996-06-01' ORDER BY CASE WHEN o_orderdate >= TIMESTAMP '1996-06-01' THEN epoch_us(o_orderdate) ELSE -epoch_us(o_orderdate) END, CASE WHEN o_orderdate >= TIMESTAMP '1996-06-01' THEN o_orderkey ELSE -o_orderkey END) AS k, o_orderkey FROM orders),
     c AS (SELECT *, count_if(a) OVER (PARTITION BY pixel) AS na, count_if(NOT a) OVER (PARTITION BY pixel) AS nb FROM r)
     SELECT pixel, count(*) AS n, round(avg(v), 4) AS mean FROM c WHERE k <= CASE WHEN a THEN 3 + greatest(0, 3 - nb) ELSE 3 + greatest(0, 3 - na) END GROUP BY 1"""
 )

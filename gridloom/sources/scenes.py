@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import verbs
@@ -33,6 +33,16 @@ def data_sets(sources: Sequence[str], tier2: bool = False) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def aliased(df: DataFrame, source: str, tier2: Column) -> DataFrame:
+    """``df`` with a row for each data set that its source name stands for (``data_set``), as ``data_sets`` names them."""
+    first = F.regexp_replace(source, "_T2$", "")
+    named = F.create_map(*(x for k, v in ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    base = F.coalesce(F.element_at(named, first), F.array(first))
+    second = F.transform(base, lambda x: F.concat(x, F.lit("_T2")))
+    own = F.when(F.endswith(F.col(source), F.lit("_T2")), second).when(tier2, F.array_distinct(F.concat(base, second))).otherwise(base)
+    return df.withColumn("data_set", F.explode(own))
+
+
 def all_scenes(sets: Mapping[str, DataFrame], names: Sequence[str], keys: Sequence[str], start: str, end: str, cloud: Mapping[str, str] | None = None, most_cloud: float = 100) -> DataFrame:
     """The observations of several data sets in ``[start, end)`` over their common bands.
 

@@ -49,8 +49,6 @@ def test_sample_size_is_the_least():
 def test_small_rules():
     assert design.smart_round(1234.5) == 1230 and design.smart_round(0.0123456) == 0.0123 and design.smart_round(0) == 0
     assert design.arrangement("GRID", 30) == {"kind": "GRID", "least_distance": 60} and design.arrangement("GRID", 30, 5, {"a": 1})["grid"] == {"a": 1}
-    x, y = design.origin_phase("s", 10)
-    assert (x, y) == design.origin_phase("s", 10) and 0 <= x < 10 and 0 <= y < 10 and (x, y) != design.origin_phase("t", 10)
     assert design.lattice_exponent(10**6, 100, 1) - design.lattice_exponent(10**6, 1600, 1) == 2
 
 
@@ -131,3 +129,28 @@ def test_changes_across_micro_batches(spark, tmp_path):
     stream = spark.readStream.schema("k long, s string, t long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
     got = sorted((r.k, r.t) for r in state.changes_now(stream, "k", "s", ["t"]).collect())
     assert got == [(1, 1), (1, 3), (1, 5), (2, 1), (2, 3), (3, 1)]
+
+
+def test_origin_phases_are_seeded(spark):
+    df = spark.createDataFrame([("s", 10.0), ("t", 10.0), ("s", 10.0)], "seed string, step double")
+    a, b, c = (tuple(r)[2:] for r in design.origin_phases(df, "seed", "step").collect())
+    assert a == c != b and all(0 <= p < 10 for p in (*a[:2], *b[:2])) and all(0 <= r[2] < 16 and 0 <= r[3] < 32 for r in (a, b))
+
+
+def test_repair_offsets(spark):
+    rows = [("enough", 100, 100, None), ("four", 100, 25, None), ("more", 100, 24, None), ("none", 100, 0, None), ("null", 100, None, None), ("near", 100, 1, 2), ("stuck", 100, 1, 0)]
+    found = design.repair_offsets(spark.createDataFrame(rows, "stratum string, requested int, raw int, finest int"))
+    got = {r.stratum: (r.short, r.extra, r.target, r.repairable) for r in found.collect()}
+    assert got == {
+        "enough": (False, 0, 0, True), "four": (True, 1, 2, True), "more": (True, 2, 3, True), "none": (True, 4, 5, True), "null": (True, 4, 5, True), "near": (True, 4, 2, True), "stuck": (True, 4, 0, False),
+    }
+    assert tuple(design.repair_offset(found).first()) == (5, 1)
+
+
+def test_rescan_delays(spark):
+    from gridloom.operators import accounts
+
+    # size, active: change, twice the same, at the most whatever the size, active again, same
+    rows = [(1, i, s, a) for i, (s, a) in enumerate([(5, False), (5, False), (5, False), (5, False), (7, False), (7, True), (7, False), (8, False)])]
+    out = accounts.rescan_delay(spark.createDataFrame(rows, "user int, i int, size int, active boolean"), "user", ["i"], "size", "active", 2.0, 10.0, 60.0)
+    assert [r.delay for r in out.orderBy("i").collect()] == [10, 20, 40, 60, 60, 10, 20, 10]
