@@ -1,14 +1,18 @@
 """Continuous change detection: harmonic models fitted to a pixel's series, broken where observations leave them.
 
-Observations of a day are averaged first, so that a pixel's series is bounded by the days it covers, whatever the number of rows.
-Models are least-squares fits (no shrinkage); the rest follows the published method: a model starts with enough
-observations over enough years, and a run of observations beyond a chi-square limit breaks it.
+The published method: clouds that a mask has missed are screened out of a model's first window by a robust fit; a model starts
+only where the window is stable; its coefficients are a lasso by coordinate descent, with more waves as observations come;
+single observations far off are dropped, and a run of them beyond a chi-square limit breaks the model.
+
+Observations of a day are averaged first, so that a pixel's series, and with it a task's group, is bounded by the days it
+covers, whatever the number of rows. Series are independent of each other: Spark deals the pixels, numpy fits each one.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
@@ -18,6 +22,29 @@ from pyspark.sql import functions as F
 
 from ..functions.harmonics import OMEGA
 
+YEAR = 365.25
+#: Probability beyond which a single observation is an outlier, and the robust screen's limit in deviations.
+OUTLIER, SCREEN = 0.999999, 4.89
+#: Observations from which two and three waves are fitted; those of the same season that judge new ones.
+TWO, THREE, SEASON = 18, 24, 24
+#: Growth of a segment after which it is fitted anew.
+GROWTH = 1.33
+
+
+@dataclass(frozen=True)
+class Options:
+    """``breakpoint_bands`` decide on breaks and ``screen_bands`` (two, or none) on outliers of the first window; ``penalty`` is the
+    lasso's (0: least squares); ``date_format`` tells the unit of dates and models: 0 days, 1 fractional years, 2 milliseconds."""
+
+    breakpoint_bands: Sequence[str] | None = None
+    screen_bands: Sequence[str] = ()
+    min_observations: int = 6
+    probability: float = 0.99
+    min_years: float = 1.33
+    penalty: float = 20.0
+    max_iterations: int = 25_000
+    date_format: int = 0
+
 
 def chi_square_limit(probability: float, bands: int) -> float:
     """The quantile of a chi-square distribution (cube-root normal approximation; one band exactly)."""
@@ -27,83 +54,197 @@ def chi_square_limit(probability: float, bands: int) -> float:
     return bands * (1 - 2 / (9 * bands) + z * math.sqrt(2 / (9 * bands))) ** 3
 
 
-def design(t: np.ndarray, harmonics: int) -> np.ndarray:
+def design(t: np.ndarray, waves: int) -> np.ndarray:
     w = OMEGA["day"]
-    waves = [f(k * w * t) for k in range(1, harmonics + 1) for f in (np.cos, np.sin)]
-    return np.stack([np.ones_like(t), t, *waves], axis=1)
-
-
-def _fit(t: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients (8 a band) and root mean square errors; fewer harmonics for fewer observations."""
-    n = 1 if len(t) < 18 else 2 if len(t) < 24 else 3
-    x, at = design(t - t[0], n), t[0]
-    c = np.linalg.lstsq(x, y, rcond=None)[0]
-    rmse = np.sqrt(np.mean((y - x @ c) ** 2, axis=0))
-    # back from time since the first observation to absolute time
-    out = np.zeros((8, y.shape[1]))
-    out[0], out[1] = c[0] - c[1] * at, c[1]
-    for k in range(1, n + 1):
-        s, d = math.sin(k * OMEGA["day"] * at), math.cos(k * OMEGA["day"] * at)
-        a, b = c[2 * k], c[2 * k + 1]
-        out[2 * k], out[2 * k + 1] = a * d - b * s, a * s + b * d
-    return out, rmse
-
-
-def segments_of(t: np.ndarray, y: np.ndarray, least: int, limit: float, years: float) -> list[dict]:
-    """Segments of one series in time order."""
-    out, at = [], 0
-    while len(t) - at >= 2 * least:
-        end = at + 2 * least
-        while end < len(t) and t[end - 1] - t[at] < years * 365.25:
-            end += 1
-        if t[end - 1] - t[at] < years * 365.25:
+    return np.stack([np.ones_like(t), t, *(f(k * w * t) for k in range(1, waves + 1) for f in (np.cos, np.sin))], axis=1)
+
+
+def lasso(x: np.ndarray, y: np.ndarray, penalty: float, max_iterations: int) -> np.ndarray:
+    """Minimum of |y - x b|^2 / 2n + penalty |b| for each column of y, by coordinate descent; the first column of x, ones, is free."""
+    if penalty <= 0:
+        return np.linalg.lstsq(x, y, rcond=None)[0]
+    mean_x, mean_y = x[:, 1:].mean(0), y.mean(0)
+    a, b = x[:, 1:] - mean_x, y - mean_y
+    gram, right = a.T @ a / len(x), a.T @ b / len(x)
+    size = np.maximum(np.diag(gram), 1e-12)
+    out = np.zeros((a.shape[1], y.shape[1]))
+    enough = 1e-9 * np.sqrt((b**2).mean(0) + 1e-30)
+    for _ in range(max_iterations):
+        moved = np.zeros(y.shape[1])
+        for j in range(len(out)):
+            rho = right[j] - gram[j] @ out + gram[j, j] * out[j]
+            new = np.sign(rho) * np.maximum(np.abs(rho) - penalty, 0) / size[j]
+            moved = np.maximum(moved, np.abs(new - out[j]) * math.sqrt(size[j]))
+            out[j] = new
+        if (moved <= enough).all():
             break
-        coefs, rmse = _fit(t[at:end], y[at:end])
-        fitted, broken = end - at, None
-        while end < len(t):
-            ahead = slice(end, end + least)
-            z = (y[ahead] - design(t[ahead], 3) @ coefs) / np.maximum(rmse, 1e-9)
-            if len(z) == least and (np.sum(z**2, axis=1) > limit).all():
-                broken = end
+    return np.vstack([mean_y - mean_x @ out, out])
+
+
+def screened(t: np.ndarray, y: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Which observations a robust fit (iteratively reweighted, bisquare) of a year's wave and one of the whole span leaves far off."""
+    w, years = OMEGA["day"], max(math.ceil((t[-1] - t[0]) / YEAR), 1)
+    x = np.stack([np.ones_like(t), np.cos(w * t), np.sin(w * t), np.cos(w * t / years), np.sin(w * t / years)], axis=1)
+    off = np.zeros(len(t), bool)
+    for k in range(y.shape[1]):
+        weight = np.ones(len(t))
+        for _ in range(5):
+            root = np.sqrt(weight)
+            rest = y[:, k] - x @ np.linalg.lstsq(x * root[:, None], y[:, k] * root, rcond=None)[0]
+            scale = np.median(np.abs(rest)) / 0.6745
+            if scale < 1e-12:
+                break
+            u = rest / (4.685 * scale)
+            weight = np.where(np.abs(u) < 1, (1 - u**2) ** 2, 0)
+        off |= np.abs(rest) > SCREEN * spread[k]
+    return off
+
+
+class Series:
+    """One pixel's observations ``t`` (days, ascending) and ``y`` (a column each band), and the search for its segments."""
+
+    def __init__(self, t: np.ndarray, y: np.ndarray, options: Options, breaking: Sequence[int], screening: Sequence[int]):
+        self.t, self.y, self.o, self.breaking, self.screening = t, y, options, list(breaking), list(screening)
+        self.limit = chi_square_limit(options.probability, len(self.breaking))
+        self.far = chi_square_limit(OUTLIER, len(self.breaking))
+        steps = np.abs(np.diff(y, axis=0))
+        #: What neighbours in time differ by: an error below it says nothing.
+        self.spread = np.maximum(np.median(steps, axis=0) if len(steps) else np.ones(y.shape[1]), 1e-9)
+
+    def drop(self, at: int) -> None:
+        self.t, self.y = np.delete(self.t, at), np.delete(self.y, at, axis=0)
+
+    def fit(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients of time since the first observation (8 a band) and residuals."""
+        n = b - a
+        waves = 1 if n < TWO else 2 if n < THREE else 3
+        x = design(self.t[a:b] - self.t[a], waves)
+        c = lasso(x, self.y[a:b], self.o.penalty, self.o.max_iterations)
+        out = np.zeros((8, self.y.shape[1]))
+        out[: len(c)] = c
+        return out, self.y[a:b] - x @ c
+
+    def distance(self, at: int | slice, start: int, coefs: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Squared distances of observations from a model, in its errors: those of the same season where there are many."""
+        t = np.atleast_1d(self.t[at])
+        gone = np.atleast_2d(self.y[at]) - design(t - self.t[start], 3) @ coefs
+        if len(rest) > SEASON:
+            apart = np.abs((self.t[start : start + len(rest)] - t[0] + YEAR / 2) % YEAR - YEAR / 2)
+            rest = rest[np.argsort(apart, kind="stable")[:SEASON]]
+        error = np.maximum(np.sqrt((rest**2).mean(0)), self.spread)
+        return ((gone / error)[:, self.breaking] ** 2).sum(1)
+
+    def first_window(self, at: int) -> int | None:
+        """End of the shortest window from ``at`` with enough observations over enough years, without what the screen takes out."""
+        m = self.o.min_observations
+        while True:
+            end = at + m
+            while end < len(self.t) and self.t[end - 1] - self.t[at] < self.o.min_years * YEAR:
+                end += 1
+            if end > len(self.t) or self.t[end - 1] - self.t[at] < self.o.min_years * YEAR:
+                return None
+            off = screened(self.t[at:end], self.y[at:end][:, self.screening], self.spread[self.screening]) if self.screening else np.zeros(0, bool)
+            if not off.any() or off.all():
+                return end
+            self.drop(at + np.flatnonzero(off))
+
+    def stable(self, a: int, b: int, coefs: np.ndarray, rest: np.ndarray) -> bool:
+        """Whether neither the trend over the window nor its first and last residual are beyond the limit."""
+        error = np.maximum(np.sqrt((rest**2).mean(0)), self.spread)
+        drift = np.abs(coefs[1]) * (self.t[b - 1] - self.t[a])
+        worst = (drift + np.abs(rest[0]) + np.abs(rest[-1])) / (3 * error)
+        return bool((worst[self.breaking] ** 2).sum() <= self.limit)
+
+    def segments(self) -> list[dict]:
+        """In time order. ``t_break`` is the first observation beyond; a series that ends in some of them has their share as probability."""
+        out: list[dict] = []
+        at = done = 0
+        while (end := self.first_window(at)) is not None:
+            coefs, rest = self.fit(at, end)
+            if not self.stable(at, end, coefs, rest):
+                at += 1
+                continue
+            while at > done:  # back over what an unstable start has skipped
+                far = self.distance(at - 1, at, coefs, rest)[0]
+                if self.limit < far <= self.far:
+                    break
+                if far > self.far:
+                    self.drop(at - 1)
+                    end -= 1
+                at -= 1
+            coefs, rest = self.fit(at, end)
+            end, broken, probability, coefs, rest = self.grown(at, end, coefs, rest)
+            row = {"t_start": self.t[at], "t_end": self.t[end - 1], "t_break": None, "num_obs": end - at, "change_prob": probability, "magnitude": np.zeros(self.y.shape[1])}
+            if probability:
+                ahead = slice(end, end + self.o.min_observations)
+                row["magnitude"] = np.median(self.y[ahead] - design(self.t[ahead] - self.t[at], 3) @ coefs, axis=0)
+            out.append(row | {"coefs": self.absolute(coefs, self.t[at]), "rmse": np.sqrt((rest**2).mean(0))})
+            if not broken:
+                break
+            out[-1]["t_break"] = self.t[end]
+            at = done = end
+        return out
+
+    def grown(self, at: int, end: int, coefs: np.ndarray, rest: np.ndarray) -> tuple[int, bool, float, np.ndarray, np.ndarray]:
+        m, fitted = self.o.min_observations, end - at
+        probability, broken = 0.0, False
+        while end < len(self.t):
+            far = self.distance(slice(end, end + m), at, coefs, rest)
+            beyond = far > self.limit
+            if len(far) == m and beyond.all():
+                probability, broken = 1.0, True
                 break
+            if len(far) < m and beyond.all():  # the series ends in them: not yet a break
+                probability = len(far) / m
+                break
+            if far[0] > self.far:
+                self.drop(end)
+                continue
             end += 1
-            if end - at >= 1.33 * fitted:  # fitted anew as the segment grows
-                coefs, rmse = _fit(t[at:end], y[at:end])
+            if end - at >= GROWTH * fitted:
+                coefs, rest = self.fit(at, end)
                 fitted = end - at
-        coefs, rmse = _fit(t[at:end], y[at:end])
-        row = {"t_start": t[at], "t_end": t[end - 1], "num_obs": end - at, "coefs": coefs, "rmse": rmse}
-        if broken is None:
-            out.append(row | {"t_break": None, "change_prob": 0.0, "magnitude": np.zeros(y.shape[1])})
-            break
-        ahead = slice(broken, broken + least)
-        gone = y[ahead] - design(t[ahead], 3) @ coefs
-        out.append(row | {"t_break": t[broken], "change_prob": 1.0, "magnitude": np.median(gone, axis=0)})
-        at = broken
-    return out
+        coefs, rest = self.fit(at, end)
+        return end, broken, probability, coefs, rest
 
+    @staticmethod
+    def absolute(coefs: np.ndarray, start: float) -> np.ndarray:
+        """Coefficients of absolute time, in days, from those of time since ``start``."""
+        out = coefs.copy()
+        out[0] -= coefs[1] * start
+        for k in (1, 2, 3):
+            s, c = math.sin(k * OMEGA["day"] * start), math.cos(k * OMEGA["day"] * start)
+            out[2 * k], out[2 * k + 1] = coefs[2 * k] * c - coefs[2 * k + 1] * s, coefs[2 * k] * s + coefs[2 * k + 1] * c
+        return out
 
-def fit_segments(obs: DataFrame, key: str, day: str, bands: Sequence[str], least: int = 6, probability: float = 0.99, years: float = 1.33) -> DataFrame:
+
+def fit_segments(obs: DataFrame, key: str, day: str, bands: Sequence[str], options: Options = Options()) -> DataFrame:
     """``(key, t_start, t_end, t_break, num_obs, change_prob)`` and, for each band, ``<band>_coefs, _rmse, _magnitude``.
 
-    ``day`` is a number of days. Masked observations are left out. Series too short or too dense in time have no segment.
+    ``day`` is a number of days (since 1970 where another date format is wanted: dates and models are then given in it).
+    Observations with a masked band, or without a day, are left out. Pixels whose series is too short or never stable have no row.
     """
-    limit = chi_square_limit(probability, len(bands))
-    whole = obs.where(" and ".join(f"`{b}` is not null" for b in bands)).groupBy(F.col(key).alias("pixel"), F.col(day).cast("double").alias("t"))
-    daily = whole.agg(*(F.avg(b).alias(b) for b in bands))
+    breaking = [bands.index(b) for b in (options.breakpoint_bands or bands)]
+    screening = [bands.index(b) for b in options.screen_bands] if len(options.screen_bands) == 2 else []
+    scale, offset = {0: (1.0, 0.0), 1: (1 / YEAR, 1970.0), 2: (86_400_000.0, 0.0)}[options.date_format]
+    valid = " and ".join(f"`{c}` is not null" for c in (day, *bands))
+    daily = obs.where(valid).groupBy(F.col(key).alias("pixel"), F.col(day).cast("double").alias("t")).agg(*(F.avg(b).alias(b) for b in bands))
+    fields = [f"pixel {dict(daily.dtypes)['pixel']}", "t_start double", "t_end double", "t_break double", "num_obs long", "change_prob double"]
+    fields += [f"{b}_{n}" for b in bands for n in ("coefs array<double>", "rmse double", "magnitude double")]
+    names = [f.split(" ")[0] for f in fields]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")
-        found = segments_of(rows["t"].to_numpy(), rows[list(bands)].to_numpy(float), least, limit, years)
         made = []
-        for s in found:
-            row = {"pixel": rows["pixel"].iloc[0], **{k: s[k] for k in ("t_start", "t_end", "t_break", "num_obs", "change_prob")}}
+        for s in Series(rows["t"].to_numpy(), rows[list(bands)].to_numpy(float), options, breaking, screening).segments():
+            c = s["coefs"].copy()
+            c[1] /= scale
+            c[0] -= c[1] * offset  # waves keep their phase: the offset is whole years
+            row = {"pixel": rows["pixel"].iloc[0], "num_obs": s["num_obs"], "change_prob": s["change_prob"]}
+            row |= {n: None if s[n] is None else s[n] * scale + offset for n in ("t_start", "t_end", "t_break")}
             for i, b in enumerate(bands):
-                row |= {f"{b}_coefs": s["coefs"][:, i].tolist(), f"{b}_rmse": float(s["rmse"][i]), f"{b}_magnitude": float(s["magnitude"][i])}
+                row |= {f"{b}_coefs": c[:, i].tolist(), f"{b}_rmse": float(s["rmse"][i]), f"{b}_magnitude": float(s["magnitude"][i])}
             made.append(row)
         return pd.DataFrame(made, columns=names)
 
-    kind = dict(daily.dtypes)["pixel"]
-    fields = [f"pixel {kind}", "t_start double", "t_end double", "t_break double", "num_obs long", "change_prob double"]
-    fields += [f"{b}_{n}" for b in bands for n in ("coefs array<double>", "rmse double", "magnitude double")]
-    names = [f.split(" ")[0] for f in fields]
     return daily.groupBy("pixel").applyInPandas(run, ", ".join(fields)).withColumnRenamed("pixel", key)
