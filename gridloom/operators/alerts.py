@@ -104,6 +104,47 @@ def year_before(obs: DataFrame, segments: DataFrame, key: str, t: str, value: st
     return rows.select(*obs.columns, difference.alias("difference"), confidence.alias("confidence"), (confidence > least).alias("changed"))
 
 
+def segment_alerts(
+    obs: DataFrame, segments: DataFrame, key: str, order: Sequence[str], value: str, band: str, monitoring: float, min_confidence: float = 5, frame: int = 3, least: int = 3,
+    must_be_stable: bool = True, must_stay: bool = True, must_confirm: bool = True, harmonics: int = 3, year: float = 365.25,
+) -> DataFrame:
+    """Changes of observations against the segments fitted to earlier ones: a row for each pixel with segments.
+
+    ``order`` begins with the observation's day. It is compared with the model of the same day a year earlier, of the segment that
+    holds that day or is nearer to it; masked observations do not count. ``confidence`` and ``difference`` are means from the first
+    to the last detection, ``detections`` their number; ``last_stable``, the detections and the means are 0 where there are none, or
+    where the alert is not confirmed since ``monitoring``, was there before it, or did not stay, as far as these are required.
+    """
+    from ..functions import harmonics as H
+    from . import slices as L
+
+    seen = obs.where(F.col(value).isNotNull()).withColumn("t", F.col(order[0]) - year)
+    own = segments.select(key, "t_start", "t_end", f"{band}_coefs", f"{band}_rmse")
+    p, n, t = F.col("previous"), F.col("next"), F.col("t")
+    closest = F.when(t - p["t_end"] > n["t_start"] - t, n).otherwise(F.coalesce(p, n))
+    near = L.beside(own, seen.select(key, "t"), key).select(F.col(key).alias("_k"), F.col("t").alias("_t"), closest.alias("_s"))
+    rows = seen.join(near, (F.col(key) == F.col("_k")) & (t == F.col("_t"))).where("_s is not null")
+    difference = H.value(F.col("_s")[f"{band}_coefs"], t, harmonics) - F.col(value)
+    sure = F.abs(difference) / F.nullif(F.col("_s")[f"{band}_rmse"], F.lit(0.0))
+    rows = rows.select(key, *order, difference.alias("_difference"), sure.alias("_sure")).withColumn("_changed", F.coalesce(F.col("_sure") > min_confidence, F.lit(False)))
+    spans = framed_alerts(rows, key, order, F.col("_changed"), frame, least, must_be_stable).drop("detections")
+    if must_be_stable:  # the first change of all, stable before or not
+        first = framed_alerts(rows, key, order, F.col("_changed"), frame, least, False).select(F.col(key).alias("_k"), F.col("confirmation").alias("_first"))
+        spans = spans.join(first, F.col(key) == F.col("_k"), "left").drop("_k")
+    else:
+        spans = spans.withColumn("_first", F.col("confirmation"))
+    kept = kept_alerts(spans, F.lit(monitoring), F.col("_first") != F.col("confirmation"), must_stay, must_confirm).drop("_first", "first_stable", "last_stable")
+    day = F.col(order[0])
+    inside = (day >= F.col("first_detection")) & (day <= F.col("last_detection"))
+    counts = rows.join(kept.withColumnRenamed(key, "_k"), F.col(key) == F.col("_k"), "left").groupBy(key).agg(
+        F.avg(F.when(inside, F.col("_sure"))).alias("confidence"), F.avg(F.when(inside, F.col("_difference"))).alias("difference"), F.count_if(inside).alias("detections"),
+        F.first("first_detection").alias("first_detection"), F.first("confirmation").alias("confirmation"), F.first("last_detection").alias("last_detection"),
+        F.count_if(day >= monitoring).alias("monitoring_observations"), F.count_if(day < monitoring).alias("calibration_observations"),
+    )
+    every = own.select(key).distinct().join(spans.select(key, "last_stable"), key, "left").join(counts, key, "left")
+    return every.fillna(0)
+
+
 def kept_alerts(alerts: DataFrame, monitoring: Column, in_calibration: Column | None = None, must_stay: bool = True, must_confirm: bool = True) -> DataFrame:
     """Alerts confirmed in the monitoring period, not already in calibration, and that stayed changed, as far as required."""
     test = F.col("confirmation").isNotNull()

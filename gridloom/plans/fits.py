@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, harmonics
-from ..operators import alerts, ccdc
+from ..operators import alerts, ccdc, slices
 from ..operators import phenology as P
 from ..operators import segments as S
 from ..registry import query, table
@@ -15,8 +15,7 @@ from .series import _SEG, segments
 @query()
 def ccdc_segments(spark, d):
     """Segments of every supplier's shipments; tested against series with planted breaks."""
-    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("pixel"), F.datediff("l_shipdate", F.lit("1992-01-01").cast("date")).alias("day"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("b"))
-    return ccdc.fit_segments(li, "pixel", "day", ["q", "b"])
+    return _fitted(spark, d)
 
 
 def _value(c: str, t: str, h: int) -> str:
@@ -96,6 +95,58 @@ def change_alerts_year_before(spark, d):
     return out.select("pixel", "id", F.round("difference", 5).alias("difference"), F.round("confidence", 5).alias("confidence"), "changed")
 
 
+_FRAMES = "WINDOW w AS (PARTITION BY pixel ORDER BY day, id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)"
+
+
+@query(
+    f"""WITH {_SEG}, o AS (SELECT o_custkey AS pixel, o_orderkey AS id, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::DOUBLE AS day, CASE WHEN o_orderkey % 11 > 0 THEN o_totalprice / 1000 END AS v FROM orders),
+    j AS (SELECT o.pixel, id, day, v, day - 365.25 AS t, arg_max(s, t_start) FILTER (WHERE t_start <= day - 365.25) AS p, arg_min(s, t_end) FILTER (WHERE t_end > day - 365.25) AS n FROM o JOIN s USING (pixel) WHERE v IS NOT NULL GROUP BY ALL),
+    x AS (SELECT *, CASE WHEN p IS NULL OR t - p.t_end > n.t_start - t THEN n ELSE p END AS x FROM j),
+    k AS (SELECT pixel, id, day, {_value('x.coefs', 't', 3)} - v AS diff, abs({_value('x.coefs', 't', 3)} - v) / nullif(x.rmse, 0) AS sure FROM x WHERE p IS NOT NULL OR n IS NOT NULL),
+    c AS (SELECT *, coalesce(sure > 1.2, false)::INT AS c FROM k),
+    f AS (SELECT *, count(*) OVER w AS size, sum(c) OVER w AS ch, max(day) OVER w AS e, max(CASE WHEN c = 1 THEN day END) OVER w AS lc, min(CASE WHEN c = 1 THEN day END) OVER w AS fc, min(CASE WHEN c = 0 THEN day END) OVER w AS fs, max(CASE WHEN c = 0 THEN day END) OVER w AS ls FROM c {_FRAMES}),
+    g AS (SELECT *, size = 4 AND 4 - ch >= 2 AS st, min(CASE WHEN size = 4 AND 4 - ch >= 2 THEN fs END) OVER (PARTITION BY pixel) AS fr FROM f), h AS (SELECT *, size = 4 AND ch >= 2 AS any_, size = 4 AND ch >= 2 AND e > fr AS cg FROM g),
+    a AS (SELECT pixel, max(CASE WHEN st THEN ls END) AS last_stable, arg_min(fc, (day, id)) FILTER (WHERE cg) AS first_detection, arg_min(lc, (day, id)) FILTER (WHERE cg) AS confirmation, arg_min(lc, (day, id)) FILTER (WHERE any_) AS first_any, max(CASE WHEN cg THEN lc END) AS last_detection FROM h GROUP BY 1),
+    m AS (SELECT * FROM a WHERE confirmation >= 1500 AND NOT coalesce(first_any <> confirmation, false) AND coalesce(last_stable < last_detection, true))
+    SELECT q.pixel, coalesce(stable_at, 0) AS last_stable, round(coalesce(avg(sure) FILTER (WHERE day BETWEEN m.first_detection AND m.last_detection), 0), 6) AS confidence, round(coalesce(avg(diff) FILTER (WHERE day BETWEEN m.first_detection AND m.last_detection), 0), 6) AS difference,
+    count(*) FILTER (WHERE day BETWEEN m.first_detection AND m.last_detection) AS detections, coalesce(any_value(m.first_detection), 0) AS first_detection, coalesce(any_value(m.confirmation), 0) AS confirmation, coalesce(any_value(m.last_detection), 0) AS last_detection,
+    count(*) FILTER (WHERE day >= 1500) AS monitoring_observations, count(*) FILTER (WHERE day < 1500) AS calibration_observations
+    FROM (SELECT DISTINCT pixel FROM s) q LEFT JOIN (SELECT pixel, last_stable AS stable_at FROM a) USING (pixel) LEFT JOIN c USING (pixel) LEFT JOIN m ON m.pixel = q.pixel GROUP BY q.pixel, stable_at"""
+)
+def segment_alerts(spark, d):
+    """Alerts from start to end: models of a year before, frames of four, and what must be confirmed since day 1500 and stay."""
+    v = F.when(F.col("o_orderkey") % 11 > 0, F.col("o_totalprice") / 1000)
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("pixel"), F.col("o_orderkey").alias("id"), F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).cast("double").alias("day"), v.alias("v"))
+    seg = segments(spark, d).withColumnsRenamed({"coefs": "v_coefs", "rmse": "v_rmse"})
+    out = alerts.segment_alerts(o, seg, "pixel", ["day", "id"], "v", "v", 1500.0, 1.2, 4, 2)
+    return out.withColumns({c: F.round(c, 6) for c in ("confidence", "difference")})
+
+
+def _shipments(spark, d):
+    day = F.datediff("l_shipdate", F.lit("1992-01-01").cast("date"))
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("pixel"), day.alias("day"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("b"))
+
+
+def _fitted(spark, d):
+    return ccdc.fit_segments(_shipments(spark, d), "pixel", "day", ["q", "b"], ccdc.Options(breakpoint_bands=["q"], screen_bands=["q", "b"], penalty=0.01))
+
+
+@query()
+def ccdc_slice_bands(spark, d):
+    """Every band of the fitted segments on two days of every supplier; tested against plain Python."""
+    at = table(spark, d, "supplier").select(F.col("s_suppkey").alias("pixel"), F.explode(F.array(F.lit(900.0), F.lit(2100.0))).alias("t"))
+    return slices.date_slice(_fitted(spark, d), at, "pixel", ["q", "b"], "EXTRAPOLATE", "CLOSEST", 90)
+
+
+@query()
+def ccdc_change_alerts(spark, d):
+    """The last two years' shipments against models of the years before; tested piece by piece."""
+    obs = _shipments(spark, d).withColumn("day", F.col("day").cast("double"))
+    past = ccdc.fit_segments(obs.where("day < 1800"), "pixel", "day", ["q"], ccdc.Options(penalty=0.01))
+    recent = obs.where("day >= 1800").groupBy("pixel", "day").agg(F.avg("q").alias("q"))
+    return alerts.segment_alerts(recent, past, "pixel", ["day"], "q", "q", 2200.0, 1.0, 3, 2)
+
+
 _IN = "CASE WHEN node{0} <= node{1} THEN d >= node{0} AND d < node{1} ELSE d >= node{0} OR d < node{1} END"
 
 
