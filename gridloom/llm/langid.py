@@ -188,7 +188,7 @@ def recognised(docs: DataFrame, model: Model, known: float, margin: float, enoug
 
     Null texts and those without a letter go. Rows stay as they are; an empty table gives an empty result."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

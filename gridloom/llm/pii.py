@@ -167,4 +167,4 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: boo
     text = F.expr(f"if(size(found) = 0, whole, array_join(zip_with(split(whole, {pattern}, -1), new, (a, b) -> concat(a, coalesce(b, ''))), ''))")
     counts = [F.expr(f"coalesce(size(filter(kinds, k -> k = '{x.name}')), 0)").cast("long").alias(f"n_{x.name}") for x in KINDS]
     text = F.when(F.col("whole").isNotNull(), text)
-    return found.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept), *counts)
+    return found.select(*(text.alias(c) if is_column(c, text_col) else F.col("row")[c].alias(c) for c in kept), *counts)

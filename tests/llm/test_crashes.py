@@ -104,3 +104,20 @@ def test_slots_are_claimed_in_turns():
             if slot is not None:
                 want[slot] = n
     assert [names[i] for i in shards.lookup_table(names, size).tolist()] == want
+
+
+def test_text_columns_of_any_case(spark):
+    """A column is found as Spark finds it; what is told of it is what was done to it."""
+    import pandas as pd
+
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "mail bob@example.com on 2024-05-01", 9), (2, "one line of words here\none line of words here", 9)], "doc_id long, Text string, N_CHARS int")
+    made = {r.doc_id: r for r in pii.pseudonymise(docs, "key").collect()}
+    assert made[1].n_email == 1 and made[1].n_date == 1 and "bob@" not in made[1].Text and "2024-05-01" not in made[1].Text
+    kept = {r.doc_id: r for r in lines.deduplicate(docs).collect()}
+    assert kept[2].n_kept == 1 and kept[2].Text == "one line of words here"
+    shorter = {r.doc_id: r for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert shorter[2].N_CHARS == len("one line of words here") and shorter[1].N_CHARS == len("mail bob@example.com on 2024-05-01")
+    model = langid.fit(pd.DataFrame({"text": ["the cat and the dog", "der hund und die katze"] * 3, "lang": ["en", "de"] * 3}))
+    assert langid.recognised(docs, model, 0.0, -9.0, 0).count() == 2
