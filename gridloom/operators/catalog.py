@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from .selection import cover_scenes as cover_scenes
 
 
 def scene_weight(cloud: Column, day_of_year: Column, target_day: int, season_weight: float) -> Column:
@@ -88,27 +88,3 @@ def insert_ignore(target: DataFrame, rows: DataFrame, keys: Sequence[str], order
     rest = [c for c in rows.columns if c not in keys]
     first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, "_row.*")
     return target.unionByName(first.select(*target.columns).join(target.select(*keys), list(keys), "left_anti"))
-
-
-def cover_scenes(rows: DataFrame, area: str, scene: str, cell: str, cloud: str, least_gain: float = 0.0, most: int = 10) -> DataFrame:
-    """Greedy cover of each area's cells: in turn the scene that adds most coverage, clouded cells counting in part.
-
-    ``rows`` has a row for each cell of each scene. One area's scenes and cells are one task's work, in memory: an
-    area is one search window. Ties go to the smaller scene.
-    """
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.assign(gain=1 - pdf[cloud] / 100).pivot_table(index=scene, columns=cell, values="gain", aggfunc="max", fill_value=0.0).sort_index()
-        have, out, left = wide.iloc[0] * 0.0, [], wide.copy()
-        while len(left) and len(out) < most:
-            gains = (left - have).clip(lower=0).sum(axis=1) / wide.shape[1]
-            best = gains.idxmax()
-            if gains[best] <= least_gain:
-                break
-            have = pd.concat([have, left.loc[best]], axis=1).max(axis=1)
-            out.append((key[0], best, len(out) + 1, round(float(gains[best]), 6)))
-            left = left.drop(best)
-        return pd.DataFrame(out, columns=[area, scene, "rank", "gain"])
-
-    kinds = dict(rows.dtypes)
-    return rows.select(area, scene, cell, cloud).groupBy(area).applyInPandas(one, f"{area} {kinds[area]}, {scene} {kinds[scene]}, rank int, gain double")

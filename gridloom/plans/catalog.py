@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import accounts
+from ..operators import accounts, selection
 from ..operators import catalog as C
 from ..registry import query, table
 
@@ -41,7 +41,16 @@ def best_scenes(spark, d):
 @query()
 def scene_cover(spark, d):
     rows = scenes(spark, d).select("area", "scene", "cloud", F.explode(F.sequence(F.col("scene") % 4, F.col("scene") % 4 + 2)).alias("cell"))
-    return C.cover_scenes(rows, "area", "scene", "cell", "cloud")
+    return selection.cover_scenes(rows, "area", "scene", "cell", "cloud")
+
+
+@query()
+def scene_round_robin(spark, d):
+    """Suppliers are scenes of their nation, buckets of parts the cells that pairs of nations share; tested against a simulation."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("scene"), F.col("s_nationkey").alias("area"), (F.floor(F.abs("s_acctbal")) % 101).alias("cloud"))
+    cells = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("scene"), (F.col("l_partkey") % 60).alias("part")).distinct()
+    rows = cells.join(F.broadcast(s), "scene").select("area", "scene", "cloud", (F.floor(F.col("area") / 2) * 1000 + F.col("part")).alias("cell"))
+    return selection.round_robin(rows, "area", "scene", "cell", "cloud", 0.2)
 
 
 @query("SELECT o_orderkey AS scene FROM orders WHERE (dayofyear(o_orderdate) >= 330 OR dayofyear(o_orderdate) <= 45)")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage is cut, a lost executor costs no recomputation, and a stream can read
+    it as well."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._staged_at = path
+    return back
+
+
 def asset(spark: SparkSession, path: str, kind: str = "parquet", schema: StructType | None = None, **options) -> DataFrame:
     """A table of a known kind; other kinds are refused."""
     if kind not in FORMATS:

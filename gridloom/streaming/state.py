@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_folder
+from ..sources.tables import shared_folder, staged as staged
 
 
 def read_events(spark: SparkSession, path: str, files: int = 64) -> DataFrame:
@@ -73,15 +73,6 @@ def run_now(stream: DataFrame, keys: Sequence[str], mode: str = "update", name:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_row")).select(*keys, "_row.*").drop("_batch")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder, where a stream can read it as well."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._staged_at = path
-    return back
-
-
 def read_staged(rows: DataFrame, files: int = 64) -> DataFrame:
     """A stream of the files of a ``staged`` table."""
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(rows._staged_at)
