@@ -2,9 +2,10 @@
 
 A configuration is a multiset of lengths that fits one sequence. The covering program (fewest sequences such that every
 length's count is covered) is solved by multiplicative weights: lengths covered less weigh more, and a knapsack dynamic
-program prices the best configuration of each round, which is used a whole number of times, once at least. All of this
-works on the histogram, whose size is the capacity: the driver's work does not grow with the number of documents. Pieces then find their places by joins: a piece's rank among those of its length
-names its configuration, its sequence and its offset.
+program prices the best configuration of each round, whose amount is rounded down to whole sequences; what rounding leaves is priced
+anew. All of this works on the histogram, whose size is the capacity: the driver's work does not grow with the number of
+documents. Pieces then find their places by joins: a piece's rank among those of its length names its configuration, its
+sequence and its offset.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from .tokens import default_path, encoder
 
 CAPACITY = 1024
 END_ID = 2
-#: Most rounds of multiplicative weights, how fast weights fall with coverage, and how much more a token of the longest
-#: pieces weighs: of configurations that fill a sequence, those of long pieces come first.
-ROUNDS, STEP, LONGER = 4000, 0.1, 0.1
+#: Rounds of multiplicative weights that the share of a round is chosen for, how fast weights fall with coverage, and how much
+#: more a token of the longest pieces weighs: of configurations that fill a sequence, those of long pieces come first.
+ROUNDS, STEP, LONGER = 1000, 0.1, 0.1
 #: Pieces that are sent on at once.
 SLICE = 2048
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -96,36 +97,41 @@ def lower_bound(histogram: dict[int, int], weights: dict[int, float], capacity:
     return float(values @ counts) / best_configuration(values, lengths, counts, capacity)[1]
 
 
-def priced_plan(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[Counter, int]], dict[int, int], float]:
-    """(configuration, number of sequences) by multiplicative weights, what they leave, and a lower bound of sequences.
+def priced_plan(histogram: dict[int, int], capacity: int, most: int = ROUNDS) -> tuple[list[tuple[Counter, int]], float]:
+    """(configuration, number of sequences) that hold the histogram, by multiplicative weights, and a lower bound of sequences.
 
-    Each round weighs a length by its tokens times a factor that falls with the share of it that is covered, and prices
-    the best configuration of what is left. It is used as often as the scarcest of its lengths allows, so that amounts are
-    whole and rounding drops no configuration. Rounds end when the best configuration leaves room in its sequence. The
-    bound is the best of the weights of every 64th round, as dual solutions.
+    Each round weighs a length by its tokens times a factor that falls exponentially with the share of it that is covered,
+    and prices the best configuration of what is left. Its amount is a share of what its scarcest length has left, rounded
+    down to whole sequences but one at least; the residual is priced anew, until nothing is left. The share grows with the
+    number of lengths, so that rounds stay near ``most`` whatever the counts. Where the weights' best configuration leaves room, the one of
+    most tokens is taken if it leaves less. The bound is the volume's, or the weights' of every 256th round as dual solutions.
     """
-    lengths = np.array(sorted(histogram, reverse=True), np.int64)
+    lengths = np.array(sorted(n for n in histogram if n < capacity), np.int64)[::-1]
     total = np.array([histogram[n] for n in lengths.tolist()], np.int64)
-    left, out = total.copy(), []
+    left, out, done = total.copy(), [], 0
+    if histogram.get(capacity):
+        out.append((Counter({capacity: 1}), histogram[capacity]))
     place = {n: i for i, n in enumerate(lengths.tolist())}
-    bound = float(lengths @ total) / capacity
-    for k in range(rounds):
-        if not left.any():
-            break
-        covered = 1 - left / total
-        open_ = left > 0
-        weights = np.exp((covered[open_].min() - covered) / STEP) * lengths * (1 + LONGER * lengths / capacity)
+    whole = sum(n * c for n, c in histogram.items()) / capacity
+    tokens, bound, share = lengths * (1 + LONGER * lengths / capacity), whole, min(1.0, len(lengths) / most)
+    while left.any():
+        covered, open_ = 1 - left / np.maximum(total, 1), np.flatnonzero(left)
+        weights = tokens * np.exp(np.clip((covered[open_].min() - covered) / STEP, -600, 0))
         config, _ = best_configuration(weights[open_], lengths[open_], left[open_], capacity)
-        if k % 64 == 63:
-            bound = max(bound, lower_bound(histogram, dict(zip(lengths.tolist(), weights.tolist(), strict=True)), capacity))
-        if sum(n * times for n, times in config.items()) < capacity:
-            break
+        used = sum(n * times for n, times in config.items())
+        if used < capacity:
+            other, _ = best_configuration(tokens[open_], lengths[open_], left[open_], capacity)
+            config = other if sum(n * times for n, times in other.items()) > used else config
+        if done % 256 == 255:
+            dual = dict(zip(lengths.tolist(), weights.tolist(), strict=True)) | ({capacity: float(weights.max())} if histogram.get(capacity) else {})
+            bound = max(bound, lower_bound(histogram, dual, capacity))
         at = np.array([place[n] for n in config])
         times = np.array(list(config.values()), np.int64)
-        n = int((left[at] // times).min())
+        n = max(1, int(share * (left[at] // times).min()))
         left[at] -= n * times
         out.append((config, n))
-    return out, {n: c for n, c in zip(lengths.tolist(), left.tolist(), strict=True) if c}, bound
+        done += 1
+    return out, bound
 
 
 def fill(histogram: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
@@ -164,16 +170,12 @@ def fill(histogram: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Counter, int]]:
-    """(configuration, number of sequences) that hold exactly the histogram's pieces.
-
-    Priced configurations, and best-fit decreasing for what they leave; best-fit decreasing alone where that needs fewer
-    sequences.
-    """
+    """(configuration, number of sequences) that hold exactly the histogram's pieces: priced configurations, or best-fit
+    decreasing where that needs fewer sequences."""
     if not histogram:
         return []
-    priced, left, _ = priced_plan(histogram, capacity)
-    whole, plain = priced + fill(left, capacity), fill(histogram, capacity)
-    return min(whole, plain, key=lambda p: sum(n for _, n in p))
+    priced, plain = priced_plan(histogram, capacity)[0], fill(histogram, capacity)
+    return min(priced, plain, key=lambda p: sum(n for _, n in p))
 
 
 def slots(planned: list[tuple[Counter, int]]) -> list[tuple[int, int, int, int, int, int]]:
