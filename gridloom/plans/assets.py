@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import filters, learning, radar
+from ..operators import filters, learning, radar, tiles
 from ..registry import query, table
 from ..sources import scenes
 from .neighbourhoods import _G, grid
@@ -67,6 +67,63 @@ def distance_transform(spark, d):
     return radar.distance_to(grid(spark, d), F.col("v") < -500, 3).select("x", "y", F.round("distance", 6).alias("distance"))
 
 
+@query(f"WITH {_G}, k AS (SELECT x AS a, y AS b FROM g WHERE v < -900) SELECT x, y, round(sqrt(min((x - a) * (x - a) + (y - b) * (y - b))), 6) AS distance FROM g, k GROUP BY 1, 2")
+def distance_unbounded(spark, d):
+    """Exact at any distance."""
+    return tiles.distance_transform(grid(spark, d), F.col("v") < -900).select("x", "y", F.round("distance", 6).alias("distance"))
+
+
+_NEAR = "(SELECT a.x, a.y, avg(b.v) AS m, var_pop(b.v) AS z FROM {0} a LEFT JOIN {1} b ON b.x BETWEEN a.x - {2} AND a.x + {2} AND b.y BETWEEN a.y - {2} AND a.y + {2} GROUP BY 1, 2)"
+_MMSE = "coalesce((1 - greatest((z - pow(greatest(m, 0), 2) * {0}) / {1} / nullif(z, 0), 0)) * greatest(m, 0) + greatest((z - pow(greatest(m, 0), 2) * {0}) / {1} / nullif(z, 0), 0) * v, greatest(m, 0))"
+
+
+@query(
+    f"""WITH {_G}, p AS (SELECT x, y, v + 1000 AS v FROM g), f AS {_NEAR.format('p', 'p', 1)}, e AS (SELECT x, y, v, {_MMSE.format(0.25, 1.25)} AS guess FROM f JOIN p USING (x, y)),
+    k AS (SELECT x, y, v FROM e WHERE v >= 0.378 * guess AND v < 2.094 * guess), h AS {_NEAR.format('p', 'k', 2)}
+    SELECT x, y, round(CASE WHEN v > 10500 THEN v ELSE {_MMSE.format(0.3991 ** 2, 1 + 0.3991 ** 2)} END + 1e-6, 3) AS filtered FROM h JOIN p USING (x, y)"""
+)
+def speckle_lee_sigma(spark, d):
+    g = grid(spark, d).withColumn("v", F.col("v") + 1000)
+    return tiles.lee_sigma(g, "v", 2, 0.9, 0.5, 10500, 16).select("x", "y", F.round(F.col("filtered") + 1e-6, 3).alias("filtered"))
+
+
+@query()
+def speckle_refined_lee(spark, d):
+    """Tested against loops over single pixels."""
+    return tiles.refined_lee(grid(spark, d).withColumn("v", F.col("v") + 1000), "v", side=16).select("x", "y", F.round("filtered", 3).alias("filtered"))
+
+
+_SLOPE = """n AS (SELECT g.x, g.y, g.v, (e.v - w.v) / 2000 AS ge, (n.v - s.v) / 2000 AS gn FROM g LEFT JOIN g e ON e.x = g.x + 1 AND e.y = g.y LEFT JOIN g w ON w.x = g.x - 1 AND w.y = g.y LEFT JOIN g s ON s.x = g.x AND s.y = g.y + 1 LEFT JOIN g n ON n.x = g.x AND n.y = g.y - 1),
+    t AS (SELECT x, y, v, atan(sqrt(ge * ge + gn * gn)) AS slope, CASE WHEN ge IS NOT NULL AND gn IS NOT NULL THEN CASE WHEN atan2(-ge, -gn) < 0 THEN atan2(-ge, -gn) + 2 * pi() ELSE atan2(-ge, -gn) END END AS aspect FROM n)"""
+
+
+@query(f"WITH {_G}, {_SLOPE} SELECT x, y, round(slope, 6) AS slope, round(aspect, 6) AS aspect FROM t")
+def terrain_slope(spark, d):
+    out = tiles.slope_aspect(grid(spark, d), "v", 1000.0)
+    return out.select("x", "y", F.round("slope", 6).alias("slope"), F.round("aspect", 6).alias("aspect"))
+
+
+_FLAT = f"""{_SLOPE}, a AS (SELECT x, y, 1 + v / 10000 AS b, radians(25 + x * 0.5) AS th, atan(tan(slope) * cos(1.4 - CASE WHEN aspect > pi() THEN aspect - 2 * pi() ELSE aspect END)) AS ar, atan(tan(slope) * sin(1.4 - CASE WHEN aspect > pi() THEN aspect - 2 * pi() ELSE aspect END)) AS az FROM t),
+    m AS (SELECT *, coalesce(ar < th AND ar > th - pi() / 2, false) AS ok FROM a)"""
+
+
+def _flattened(spark, d, model, buffer):
+    g = tiles.slope_aspect(grid(spark, d), "v", 1000.0).withColumn("b", 1 + F.col("v") / 10000)
+    out = tiles.terrain_flattened(g, ["b"], F.radians(25 + F.col("x") * 0.5), F.lit(1.4), model, buffer)
+    return out.select("x", "y", F.round("b", 5).alias("b"))
+
+
+@query(f"WITH {_G}, {_FLAT} SELECT x, y, round(CASE WHEN ok THEN b / cos(th) / (tan(pi() / 2 - th + ar) / tan(pi() / 2 - th)) END, 5) AS b FROM m")
+def terrain_volume(spark, d):
+    return _flattened(spark, d, "volume", 0.0)
+
+
+@query(f"WITH {_G}, {_FLAT}, o AS (SELECT m.*, NOT EXISTS (SELECT 1 FROM m k WHERE NOT k.ok AND (k.x - m.x) * (k.x - m.x) + (k.y - m.y) * (k.y - m.y) <= 1) AS clear FROM m) SELECT x, y, round(CASE WHEN ok AND clear THEN b / cos(th) / (cos(pi() / 2 - th) / (cos(az) * cos(pi() / 2 - th + ar))) END, 5) AS b FROM o")
+def terrain_surface(spark, d):
+    """With a buffer of a pixel around layover and shadow."""
+    return _flattened(spark, d, "surface", 1.0)
+
+
 @query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 9 END END AS mapped, CASE WHEN c_nationkey <> 0 THEN 4 WHEN c_custkey % 2 <> 0 THEN 5 END AS hot FROM customer")
 def training_classes(spark, d):
     c = table(spark, d, "customer").withColumn("odd", F.col("c_custkey") % 2)
