@@ -33,8 +33,9 @@ SAMPLE, CANDIDATES, TERMS = 6_000, 60_000, 20_000
 EVIDENCE, EXCEPTION = 18.0, 3
 #: Log odds below which a term says too little to count.
 LEAST = 2.0
-#: Share of a beginning's toxic texts that longer terms must explain to take its place; evidence from which a term may have exceptions.
-MOST, HINT = 0.8, 6.0
+#: Share of a beginning's toxic texts that longer terms must explain to take its place; evidence and log odds from which a term may have
+#: exceptions, which lower both.
+MOST, HINT = 0.8, (6.0, 0.7)
 #: Beginnings of words that may be terms, in letters.
 PREFIXES = range(3, 9)
 FOLDS = 5
@@ -199,7 +200,7 @@ def _weight(toxic: float, clean: float, toxic_texts: int, clean_texts: int) -> t
     return weight, evidence
 
 
-def _weighted(tallies: Iterable, sizes: list[int], least: float = EVIDENCE) -> dict[str, tuple[float, ...]]:
+def _weighted(tallies: Iterable, sizes: list[int], least: float = EVIDENCE, odds: float = LEAST) -> dict[str, tuple[float, ...]]:
     """Weights over all texts and, for each fold, over the others; 0 where the evidence there is not enough."""
     ways = [list(range(FOLDS)), *([g for g in range(FOLDS) if g != f] for f in range(FOLDS))]
     out = {}
@@ -209,7 +210,7 @@ def _weighted(tallies: Iterable, sizes: list[int], least: float = EVIDENCE) -> d
         for way in ways:
             c, t, cs, ts = (sum(x[2 * f + k] for f in way) for x, k in ((counts, 0), (counts, 1), (sizes, 0), (sizes, 1)))
             weight, evidence = _weight(t, c, ts, cs)
-            weights.append(weight if evidence >= least and weight >= LEAST else 0.0)
+            weights.append(weight if evidence >= least and weight >= odds else 0.0)
         if any(weights):
             out[r["term"]] = tuple(weights)
     return out
@@ -272,7 +273,7 @@ def fit(sample: DataFrame, exceptions: Iterable[str] = ()) -> Model:
         return tallied.where(t >= 3).withColumn("gain", gain).where("gain > 0").orderBy(F.desc("gain"), "term").limit(CANDIDATES).collect()
 
     tallies = first(_tallied(sample, words_in))
-    loose = {t: (1.0,) * (FOLDS + 1) for t in _weighted(tallies, sizes, HINT)}
+    loose = {t: (1.0,) * (FOLDS + 1) for t in _weighted(tallies, sizes, *HINT)}
     send = sample.sparkSession.sparkContext.broadcast
     probe = send(Model(terms=loose, exceptions=given))
 
@@ -309,6 +310,8 @@ def fit(sample: DataFrame, exceptions: Iterable[str] = ()) -> Model:
         tallies = first(_tallied(sample, left_in))
     terms = _chosen(_weighted(tallies, sizes), {r["term"]: sum(r[f"toxic{f}"] for f in range(FOLDS)) for r in tallies})
     model.terms = dict(sorted(terms.items(), key=lambda i: (-i[1][0], i[0]))[:TERMS])
+    own = {t.strip() for t in model.terms if t.endswith(" ")}
+    model.exceptions = tuple(p for p in model.exceptions if p in given or own & set(p.split()))
     learned = send(model)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,4 +24,4 @@ def test_query(spark, name):
 
 
 def test_all_operators_are_registered():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
