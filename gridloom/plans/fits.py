@@ -8,6 +8,7 @@ from ..functions import dates, harmonics
 from ..operators import alerts, ccdc, slices
 from ..operators import phenology as P
 from ..operators import segments as S
+from ..operators.find import Find, classified, sampled
 from ..registry import query, table
 from .series import _SEG, segments
 
@@ -95,6 +96,56 @@ def change_alerts_year_before(spark, d):
     return out.select("pixel", "id", F.round("difference", 5).alias("difference"), F.round("confidence", 5).alias("confidence"), "changed")
 
 
+_FOUND = f"WITH {_SEG}, f AS (SELECT pixel, t_start AS at0, CASE WHEN keep THEN t_start END AS t_start, CASE WHEN keep THEN days END AS days, CASE WHEN keep AND magnitude > -38 THEN magnitude END AS magnitude FROM (SELECT *, t_end - t_start AS days, t_end - t_start > 100 AS keep FROM s))"
+
+
+def _find(spark, d):
+    """Segments of more than a hundred days, with their length, and their magnitude where it is large enough."""
+    f = Find(segments(spark, d).select("pixel", "t_start", "t_end", "magnitude"), "pixel").add_bands(days=F.col("t_end") - F.col("t_start"))
+    return f.update_mask(F.col("days") > 100).add_bands(magnitude=F.when(F.col("magnitude") > -38, F.col("magnitude")))
+
+
+def _picked(df):
+    return df.select("pixel", "t_start", "days", F.round("magnitude", 6).alias("magnitude"))
+
+
+@query(f"{_FOUND} SELECT pixel, " + ", ".join(f"{r}(arg_min({b}, at0) FILTER (WHERE {b} IS NOT NULL){x}) AS {b}" for b, r, x in (("t_start", "", ""), ("days", "", ""), ("magnitude", "round", ", 6"))) + " FROM f GROUP BY 1")
+def segment_find_first(spark, d):
+    return _picked(_find(spark, d).first())
+
+
+@query(f"{_FOUND}, m AS (SELECT *, max(days) OVER (PARTITION BY pixel) AS best FROM f) SELECT pixel, " + ", ".join(f"{r}(arg_max({b}, at0) FILTER (WHERE {b} IS NOT NULL AND days = best){x}) AS {b}" for b, r, x in (("t_start", "", ""), ("days", "", ""), ("magnitude", "round", ", 6"))) + " FROM m GROUP BY 1")
+def segment_find_longest(spark, d):
+    return _picked(_find(spark, d).max("days"))
+
+
+def _bands():
+    c = F.col("coefs")
+    return {"intercept": c[0], "slope": c[1], "amplitude": harmonics.amplitude(c, 1), "error": F.col("rmse")}
+
+
+@query(
+    f"""WITH {_SEG}, o AS (SELECT o_orderkey AS id, o_custkey AS pixel, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) + 20 AS day, o_orderstatus AS cls FROM orders),
+    j AS (SELECT id, o.pixel, cls, arg_min(s, t_start) AS x FROM o JOIN s ON s.pixel = o.pixel AND t_start <= day AND day <= t_end GROUP BY ALL)
+    SELECT id, pixel, cls, round(x.coefs[1], 9) AS intercept, round(x.coefs[2], 9) AS slope, round(sqrt(x.coefs[3] ** 2 + x.coefs[4] ** 2), 9) AS amplitude, round(x.rmse, 9) AS error FROM j"""
+)
+def segment_samples(spark, d):
+    """Orders, three weeks on, as labelled points on their customer's segments."""
+    day = F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")) + 20
+    points = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("pixel"), day.alias("day"), F.col("o_orderstatus").alias("cls"))
+    out = sampled(points, segments(spark, d), "pixel", "day", _bands())
+    return out.select("id", "pixel", "cls", *(F.round(b, 9).alias(b) for b in _bands()))
+
+
+@query()
+def segment_classes(spark, d):
+    """A tree trained on samples tells each segment's type; tested on segments that a threshold parts."""
+    day = F.datediff("o_orderdate", F.lit("1992-01-01").cast("date"))
+    points = table(spark, d, "orders").select(F.col("o_custkey").alias("pixel"), day.alias("day"), F.substring("o_orderpriority", 1, 1).cast("int").alias("cls"))
+    found = segments(spark, d)
+    return classified(sampled(points, found, "pixel", "day", _bands()), found, _bands(), "cls", "CART").select("pixel", "t_start", "type")
+
+
 _FRAMES = "WINDOW w AS (PARTITION BY pixel ORDER BY day, id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)"
 
 
