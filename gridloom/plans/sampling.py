@@ -55,10 +55,9 @@ def final_count_classification(spark, d):
     return S.classify_counts(sizes(spark, d).select("stratum", "size").join(actual, "stratum", "left"), 2, 5)
 
 
-_LEVEL = "greatest(CASE WHEN j % 2 = 0 THEN 0.5 ELSE 0 END, " + ", ".join(
-    f"CASE WHEN ((i % {2 * m} = 0 AND j % {4 * m} = 0) OR (((i - {m}) % {2 * m} + {2 * m}) % {2 * m} = 0 AND j % {4 * m} <> 0)) AND j % {2 * m} = 0 THEN {n} + CASE WHEN j % {2 ** (n + 1)} = 0 THEN 0.5 ELSE 0 END ELSE 0 END"
-    for n, m in ((n, 2 ** (n - 1)) for n in range(1, 5))
-) + ")"
+# Lattices of 2^n times the diameter, enumerated: their rows are every 2^n-th one, their points lie 2^(n+1) half steps apart, those of
+# odd rows shifted by half of that. A point's level is the coarsest it is in, and a half more in even rows of that.
+_LEVEL = "list_max([n + CASE WHEN (j >> n) % 2 = 0 THEN 0.5 ELSE 0 END FOR n IN range(0, 5) IF j % (1 << n) = 0 AND (2 * i + j % 2 - ((j >> n) % 2) * (1 << n)) % (2 << n) = 0])"
 
 
 @query(f"SELECT c_custkey AS cell, {_LEVEL}::DOUBLE AS level FROM (SELECT c_custkey, c_custkey % 37 AS i, c_custkey % 101 AS j FROM customer)")
