@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +28,15 @@ def lookup(segments: DataFrame, dates: DataFrame, key: str, how: str, columns: S
     return dates.join(segments.select(key, "t_start", "t_end", *(c for c in columns if c not in ("t_start", "t_end"))), key, "left").groupBy(key, "t").agg(picks[how].alias("_s")).select(key, "t", "_s.*")
 
 
+def at_points(segments: DataFrame, points: DataFrame, key: str, columns: Mapping[str, str]) -> DataFrame:
+    """For each of ``points``, arrays of its segments' ``columns`` (renamed) in order of ``t_start``: missing dates are 0, and points
+    without segments have empty arrays. A pixel has a few segments."""
+    one = F.struct(F.col("t_start").alias("_at"), *(F.coalesce(F.col(c), F.lit(0.0)).alias(f"_{i}") for i, c in enumerate(columns)))
+    each = segments.groupBy(F.col(key).alias("_k")).agg(F.array_sort(F.collect_list(one)).alias("_s"))
+    rows = points.join(each, F.col(key) == F.col("_k"), "left")
+    return rows.select(*points.columns, *(F.coalesce(F.col(f"_s._{i}"), F.array().cast("array<double>")).alias(n) for i, n in enumerate(columns.values())))
+
+
 def first_last(segments: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     picked = F.struct(*columns)
     return segments.groupBy(key).agg(F.min_by(picked, "t_start").alias("first"), F.max_by(picked, "t_start").alias("last"))

@@ -79,10 +79,11 @@ def segment_blend(spark, d):
     return out.select("pixel", "t", F.round("value", 5).alias("value"))
 
 
-@query(f"WITH {_SEG} SELECT pixel, list(t_start ORDER BY t_start) AS starts, list(coalesce(t_break, 0) ORDER BY t_start) AS breaks FROM s GROUP BY 1")
+@query(f"WITH {_SEG} SELECT c_custkey AS pixel, coalesce(list(t_start ORDER BY t_start) FILTER (WHERE t_start IS NOT NULL), []) AS starts, coalesce(list(coalesce(t_break, 0) ORDER BY t_start) FILTER (WHERE t_start IS NOT NULL), []) AS breaks FROM customer LEFT JOIN s ON pixel = c_custkey GROUP BY 1")
 def segments_at_points(spark, d):
-    each = F.array_sort(F.collect_list(F.struct("t_start", F.coalesce("t_break", F.lit(0.0)).alias("b"))))
-    return segments(spark, d).groupBy("pixel").agg(each.alias("s")).select("pixel", F.col("s.t_start").alias("starts"), F.col("s.b").alias("breaks"))
+    points = table(spark, d, "customer").select(F.col("c_custkey").alias("pixel"))
+    out = S.at_points(segments(spark, d), points, "pixel", {"t_start": "starts", "t_break": "breaks"})
+    return out
 
 
 @query(

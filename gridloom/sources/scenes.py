@@ -74,8 +74,9 @@ def has_imagery(df: DataFrame) -> DataFrame:
 
 
 def linked(scenes: DataFrame, auxiliary: DataFrame, bands: Sequence[str]) -> DataFrame:
-    """Scenes with bands of the auxiliary scene of the same name; masked where there is none."""
-    return scenes.join(auxiliary.select("scene", *bands), "scene", "left")
+    """Scenes with bands of the auxiliary scene of the same name, the first (by its bands' order) where it repeats; masked where there is none."""
+    first = auxiliary.groupBy("scene").agg(F.min(F.struct(*bands)).alias("_first"))
+    return scenes.join(first, "scene", "left").select(*scenes.columns, *(F.col("_first")[b].alias(b) for b in bands))
 
 
 def first_tile(scenes: DataFrame, tiles: DataFrame, tile: str, name: str, columns: Sequence[str]) -> DataFrame:

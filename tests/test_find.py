@@ -36,3 +36,15 @@ def test_samples_and_classes(spark):
     train = spark.createDataFrame([(float(x), int(x > 12)) for x in range(40)], "double_a double, cls int")
     types = {(r.pixel, r.t_start): r.type for r in classified(train, segments(spark), bands, "cls", "CART").collect()}
     assert types == {(1, 0.0): 0, (1, 20.0): 1, (1, 40.0): 1, (1, 60.0): 0, (2, 0.0): None}
+
+
+def test_points_without_segments_and_repeated_auxiliaries(spark):
+    from gridloom.operators import segments as S
+    from gridloom.sources import scenes
+
+    points = spark.createDataFrame([(1,), (7,)], "pixel int")
+    got = {r.pixel: (r.starts, r.values) for r in S.at_points(segments(spark), points, "pixel", {"t_start": "starts", "b": "values"}).collect()}
+    assert got == {1: ([0.0, 20.0, 40.0, 60.0], [0.0, 2.0, 0.0, 4.0]), 7: ([], [])}
+    own = spark.createDataFrame([(1, "a"), (2, "b")], "scene int, name string")
+    other = spark.createDataFrame([(1, 5.0), (1, 3.0)], "scene int, cloud double")
+    assert sorted(tuple(r) for r in scenes.linked(own, other, ["cloud"]).collect()) == [(1, "a", 3.0), (2, "b", None)]
