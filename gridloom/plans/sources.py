@@ -63,7 +63,7 @@ def column_list(spark, d):
     return verbs.first_row_columns(e.select("event_id", "event_type", "user_id", F.when(F.col("value") > 100, F.col("value")).alias("value"), "props", "ts"), ["ts", "event_id"], ["event_id", "event_type", "user_id", "value", "props"])
 
 
-@query("SELECT o_orderkey AS scene, o_custkey AS owner, l_quantity AS probability FROM orders LEFT JOIN (SELECT l_orderkey, l_quantity FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 10) ON l_orderkey = o_orderkey")
+@query("SELECT o_orderkey AS scene, o_custkey AS owner, l_quantity AS probability FROM orders LEFT JOIN (SELECT l_orderkey, min(l_quantity) AS l_quantity FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 10 GROUP BY 1) ON l_orderkey = o_orderkey")
 def linked_auxiliary(spark, d):
     aux = table(spark, d, "lineitem").where("l_linenumber = 1 and l_quantity > 10").select(F.col("l_orderkey").alias("scene"), F.col("l_quantity").alias("probability"))
     return S.linked(table(spark, d, "orders").select(F.col("o_orderkey").alias("scene"), F.col("o_custkey").alias("owner")), aux, ["probability"])
