@@ -67,7 +67,7 @@ def distance_transform(spark, d):
     return radar.distance_to(grid(spark, d), F.col("v") < -500, 3).select("x", "y", F.round("distance", 6).alias("distance"))
 
 
-@query(f"WITH {_G}, k AS (SELECT x AS a, y AS b FROM g WHERE v < -900) SELECT x, y, round(sqrt(min((x - a) * (x - a) + (y - b) * (y - b))), 6) AS distance FROM g, k GROUP BY 1, 2")
+@query(f"WITH {_G}, k AS (SELECT x AS a, y AS b FROM g WHERE v < -900) SELECT x, y, round(sqrt(min((x - a) * (x - a) + (y - b) * (y - b))), 6) AS distance FROM g LEFT JOIN k ON true GROUP BY 1, 2")
 def distance_unbounded(spark, d):
     """Exact at any distance."""
     return tiles.distance_transform(grid(spark, d), F.col("v") < -900).select("x", "y", F.round("distance", 6).alias("distance"))
