@@ -28,7 +28,7 @@ from .common import is_column, small_side, written
 
 #: Labelled texts of each class that are learned from, at most (by the order of their hash); terms counted over them that reach
 #: the driver, and those kept.
-SAMPLE, CANDIDATES, TERMS = 6_000, 60_000, 20_000
+SAMPLE, CANDIDATES, TERMS = 6_000, 30_000, 20_000
 #: Evidence that a term must have (twice the log-likelihood ratio of its odds), and the clean texts an exception must be in.
 EVIDENCE, EXCEPTION = 18.0, 3
 #: Log odds below which a term says too little to count.
@@ -180,7 +180,7 @@ def _tallied(sample: DataFrame, found_in: object) -> DataFrame:
             for text, toxic, part in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
                 for term in found_in(text):
                     counts[term][2 * part + toxic] += 1
-                if len(counts) > 200_000:
+                if len(counts) > 50_000:
                     yield send()
                     counts.clear()
         yield send()
@@ -295,6 +295,7 @@ def fit(sample: DataFrame, exceptions: Iterable[str] = ()) -> Model:
 
     t, c = (sum((F.col(f"{k}{f}") for f in range(FOLDS)), F.lit(0)) for k in ("toxic", "clean"))
     spared = _tallied(sample, phrases_in).where((t == 0) & (c >= EXCEPTION)).orderBy(F.desc(c), "term").limit(TERMS).collect()
+    probe.destroy()  # workers keep a broadcast, and the automaton made of it, as long as it lives
     model.exceptions = tuple(dict.fromkeys([*given, *(r["term"] for r in spared)]))
     if model.exceptions:  # without the texts in which a term stands in exceptions only
         probe = send(Model(terms=loose, exceptions=model.exceptions))
@@ -308,6 +309,7 @@ def fit(sample: DataFrame, exceptions: Iterable[str] = ()) -> Model:
             return {t for w in words for t in features(w) if t in probe.value.terms}
 
         tallies = first(_tallied(sample, left_in))
+        probe.destroy()
     terms = _chosen(_weighted(tallies, sizes), {r["term"]: sum(r[f"toxic{f}"] for f in range(FOLDS)) for r in tallies})
     model.terms = dict(sorted(terms.items(), key=lambda i: (-i[1][0], i[0]))[:TERMS])
     own = {t.strip() for t in model.terms if t.endswith(" ")}
@@ -325,6 +327,7 @@ def fit(sample: DataFrame, exceptions: Iterable[str] = ()) -> Model:
 
     rows = sample.mapInArrow(measured, "toxic int, n long, total double").groupBy("toxic", "n", "total").count().collect()
     x = np.array([Model.values(r["n"], r["total"]) for r in rows])
+    learned.destroy()
     index = np.repeat(np.arange(len(rows)), [r["count"] for r in rows])
     return Model(model.terms, model.exceptions, _fitted(x[index], np.array([r["toxic"] for r in rows], float)[index]))
 
