@@ -7,16 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
+
 
 def placed(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """``df`` with each row's ``place`` from 1 in a total order, without one task that sorts all.
 
-    Rows are sorted by range; each part's size shifts the numbers of the parts after it. Only a row a part is summed
-    in one place.
+    Rows are parted by range; each part's size shifts the numbers of the parts after it. Only a row a part is summed
+    in one place. The bounds of the parts come from a sample that another run would draw anew, so the parted rows are written
+    once, and both their sizes and their places are read from there.
     """
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    parts = df.repartitionByRange(n, *columns).withColumn("_part", F.spark_partition_id())
+    parts = staged(df.repartitionByRange(n, *columns).withColumn("_part", F.spark_partition_id()), "parts")
     inside = parts.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*columns)))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
