@@ -74,7 +74,8 @@ def stream_bayts(spark, d):
     """The same as a stream of observations that continues from states: those of the first half are the initial ones."""
     seen = _seen(spark, d)
     half = seen.join(F.broadcast(seen.agg(F.expr("percentile_approx(day, 0.5)").alias("_h"))), how="cross")  # one row
-    rows = state.staged(half, "bayts-seen")
+    # a pixel's series lies in one file, so that it comes in one micro-batch, however many files there are
+    rows = state.staged(half.repartition("pixel"), "bayts-seen")
     first = B.monitor(rows.where("day < _h"), "pixel", "date", "orbit", RULES, F.col("wetland"))
     stream = state.read_staged(rows).where("day >= _h")
     updated = state.run_now(S.monitored(stream, "pixel", RULES, first), ["pixel"], name="bayts")
