@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
+
 
 def framed_alerts(obs: DataFrame, key: str, order: Sequence[str], changed: Column, frame: int, least: int, must_be_stable: bool = True) -> DataFrame:
     """Alerts of each pixel from frames of ``frame`` consecutive observations with ``least`` changed (or stable) ones.
@@ -127,6 +129,7 @@ def segment_alerts(
     difference = H.value(F.col("_s")[f"{band}_coefs"], t, harmonics) - F.col(value)
     sure = F.abs(difference) / F.nullif(F.col("_s")[f"{band}_rmse"], F.lit(0.0))
     rows = rows.select(key, *order, difference.alias("_difference"), sure.alias("_sure")).withColumn("_changed", F.coalesce(F.col("_sure") > min_confidence, F.lit(False)))
+    rows = staged(rows, "compared")  # three steps read them
     spans = framed_alerts(rows, key, order, F.col("_changed"), frame, least, must_be_stable).drop("detections")
     if must_be_stable:  # the first change of all, stable before or not
         first = framed_alerts(rows, key, order, F.col("_changed"), frame, least, False).select(F.col(key).alias("_k"), F.col("confirmation").alias("_first"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.harmonics import OMEGA
+from ..sources.tables import staged
 
 YEAR = 365.25
 #: Probability beyond which a single observation is an outlier, and the robust screen's limit in deviations.
@@ -59,13 +60,53 @@ def design(t: np.ndarray, waves: int) -> np.ndarray:
     return np.stack([np.ones_like(t), t, *(f(k * w * t) for k in range(1, waves + 1) for f in (np.cos, np.sin))], axis=1)
 
 
+def _by_signs(gram: np.ndarray, right: np.ndarray, penalty: float, tries: int = 60) -> np.ndarray | None:
+    """The minimum of each column: solved for supposed signs, which change one by one, each time to a smaller sum, until the solution
+    has them; None if that does not come about."""
+    try:
+        plain = np.linalg.solve(gram, right)
+        sign = np.sign(plain)
+        out = np.linalg.solve(gram, right - penalty * sign)
+        for k in np.flatnonzero(~(sign * out > 0).all(0)):  # where some coefficients are to be 0
+            s, c = sign[:, k], plain[:, k].copy()
+            for _ in range(tries):
+                on = np.flatnonzero(s)
+                goal = np.zeros(len(gram))
+                goal[on] = np.linalg.solve(gram[on][:, on], right[on, k] - penalty * s[on])
+                crossed = np.flatnonzero((s != 0) & (s * goal <= 0))
+                if len(crossed):  # as far as the first one that comes to 0
+                    share = c[crossed] / (c[crossed] - goal[crossed])
+                    at = np.argmin(share)
+                    c += share[at] * (goal - c)
+                    c[crossed[at]] = s[crossed[at]] = 0
+                    continue
+                c = goal
+                slope = np.where(s == 0, right[:, k] - gram @ c, 0)
+                most = np.argmax(np.abs(slope))
+                if abs(slope[most]) <= penalty * (1 + 1e-12):
+                    break
+                s[most] = np.sign(slope[most])
+            else:
+                return None
+            out[:, k] = c
+    except np.linalg.LinAlgError:
+        return None
+    return out if np.isfinite(out).all() else None
+
+
 def lasso(x: np.ndarray, y: np.ndarray, penalty: float, max_iterations: int) -> np.ndarray:
-    """Minimum of |y - x b|^2 / 2n + penalty |b| for each column of y, by coordinate descent; the first column of x, ones, is free."""
+    """Minimum of |y - x b|^2 / 2n + penalty |b| for each column of y; the first column of x, ones, is free.
+
+    It is solved for the signs of the coefficients where they are found in a few steps, else by coordinate descent.
+    """
     if penalty <= 0:
         return np.linalg.lstsq(x, y, rcond=None)[0]
     mean_x, mean_y = x[:, 1:].mean(0), y.mean(0)
     a, b = x[:, 1:] - mean_x, y - mean_y
     gram, right = a.T @ a / len(x), a.T @ b / len(x)
+    out = _by_signs(gram, right, penalty)
+    if out is not None:
+        return np.vstack([mean_y - mean_x @ out, out])
     size = np.maximum(np.diag(gram), 1e-12)
     out = np.zeros((a.shape[1], y.shape[1]))
     enough = 1e-9 * np.sqrt((b**2).mean(0) + 1e-30)
@@ -124,15 +165,20 @@ class Series:
         out[: len(c)] = c
         return out, self.y[a:b] - x @ c
 
-    def distance(self, at: int | slice, start: int, coefs: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        """Squared distances of observations from a model, in its errors: those of the same season where there are many."""
-        t = np.atleast_1d(self.t[at])
-        gone = np.atleast_2d(self.y[at]) - design(t - self.t[start], 3) @ coefs
+    def parted(self, at: slice, start: int, coefs: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each observation, its differences from a model and the model's errors there: those of the same season where there are many."""
+        t = self.t[at]
+        gone = self.y[at] - design(t - self.t[start], 3) @ coefs
         if len(rest) > SEASON:
-            apart = np.abs((self.t[start : start + len(rest)] - t[0] + YEAR / 2) % YEAR - YEAR / 2)
-            rest = rest[np.argsort(apart, kind="stable")[:SEASON]]
-        error = np.maximum(np.sqrt((rest**2).mean(0)), self.spread)
-        return ((gone / error)[:, self.breaking] ** 2).sum(1)
+            apart = np.abs((self.t[start : start + len(rest)] % YEAR)[None, :] - (t % YEAR)[:, None])
+            apart = np.minimum(apart, YEAR - apart)
+            most = np.partition(apart, SEASON - 1, axis=1)[:, SEASON - 1 : SEASON]
+            near, even = apart < most, apart == most
+            near |= even & (np.cumsum(even, axis=1) <= SEASON - near.sum(1, keepdims=True))  # of those equally apart, the earlier ones
+            error = np.sqrt(near @ rest**2 / SEASON)
+        else:
+            error = np.broadcast_to(np.sqrt((rest**2).mean(0)), gone.shape)
+        return gone[:, self.breaking], np.maximum(error, self.spread)[:, self.breaking]
 
     def first_window(self, at: int) -> int | None:
         """End of the shortest window from ``at`` with enough observations over enough years, without what the screen takes out."""
@@ -164,15 +210,18 @@ class Series:
             if not self.stable(at, end, coefs, rest):
                 at += 1
                 continue
+            window = at, end
             while at > done:  # back over what an unstable start has skipped
-                far = self.distance(at - 1, at, coefs, rest)[0]
+                gone, error = self.parted(slice(at - 1, at), at, coefs, rest)
+                far = ((gone / error) ** 2).sum()
                 if self.limit < far <= self.far:
                     break
                 if far > self.far:
                     self.drop(at - 1)
                     end -= 1
                 at -= 1
-            coefs, rest = self.fit(at, end)
+            if (at, end) != window:
+                coefs, rest = self.fit(at, end)
             end, broken, probability, coefs, rest = self.grown(at, end, coefs, rest)
             row = {"t_start": self.t[at], "t_end": self.t[end - 1], "t_break": None, "num_obs": end - at, "change_prob": probability, "magnitude": np.zeros(self.y.shape[1])}
             if probability:
@@ -188,23 +237,34 @@ class Series:
     def grown(self, at: int, end: int, coefs: np.ndarray, rest: np.ndarray) -> tuple[int, bool, float, np.ndarray, np.ndarray]:
         m, fitted = self.o.min_observations, end - at
         probability, broken = 0.0, False
+        ahead = np.zeros(0)  # what follows ``end`` as the present model sees it, one by one its own distance
         while end < len(self.t):
-            far = self.distance(slice(end, end + m), at, coefs, rest)
-            beyond = far > self.limit
-            if len(far) == m and beyond.all():
-                probability, broken = 1.0, True
-                break
-            if len(far) < m and beyond.all():  # the series ends in them: not yet a break
-                probability = len(far) / m
-                break
-            if far[0] > self.far:
-                self.drop(end)
-                continue
+            if not len(ahead):  # as many as the model may see before it is fitted anew, and the window after them
+                n = max(math.ceil(GROWTH * fitted) - (end - at), 1)
+                gone, error = self.parted(slice(end, end + n + m), at, coefs, rest)
+                ahead = ((gone / error) ** 2).sum(1)
+                last = end + n + m >= len(self.t)
+            if ahead[0] > self.limit:
+                if len(ahead) < m and not last:
+                    ahead = ahead[:0]
+                    continue
+                far = ((gone[:m] / error[0]) ** 2).sum(1)
+                if (far > self.limit).all():
+                    # where the series ends in them it is not yet a break
+                    probability, broken = (1.0, True) if len(far) == m else (len(far) / m, False)
+                    break
+                if ahead[0] > self.far:
+                    self.drop(end)
+                    gone, error, ahead = gone[1:], error[1:], ahead[1:]
+                    continue
             end += 1
+            gone, error, ahead = gone[1:], error[1:], ahead[1:]
             if end - at >= GROWTH * fitted:
                 coefs, rest = self.fit(at, end)
                 fitted = end - at
-        coefs, rest = self.fit(at, end)
+                ahead = ahead[:0]
+        if end - at != fitted:
+            coefs, rest = self.fit(at, end)
         return end, broken, probability, coefs, rest
 
     @staticmethod
@@ -247,4 +307,5 @@ def fit_segments(obs: DataFrame, key: str, day: str, bands: Sequence[str], optio
             made.append(row)
         return pd.DataFrame(made, columns=names)
 
-    return daily.groupBy("pixel").applyInPandas(run, ", ".join(fields)).withColumnRenamed("pixel", key)
+    fitted = daily.groupBy("pixel").applyInPandas(run, ", ".join(fields)).withColumnRenamed("pixel", key)
+    return staged(fitted, "segments")  # written once: what reads segments reads them several times
