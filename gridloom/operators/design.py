@@ -6,8 +6,9 @@ A design has a handful of strata; what works on them alone is plain Python, what
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +71,25 @@ def outcome_status(n: str, strata: int, least: Column) -> Column:
     return F.when(F.col(n).isNull(), "MARGIN_UNREACHABLE").when(F.col(n) < least * strata, "SAMPLE_TOO_SMALL").otherwise("OK")
 
 
+def outcomes(designs: DataFrame, weights: Sequence[float], shares: Sequence[float], n: str, strategy: str, least: Column) -> DataFrame:
+    """``designs`` with ``status`` and ``sizes``, the allocation to strata in their order: empty unless the status is OK.
+
+    Equal designs are allocated once: each distinct one is a row of its own, and Spark deals them.
+    """
+    rows = designs.withColumns({"_least": least.cast("int"), "status": outcome_status(n, len(weights), least)})
+    w, p = list(weights), list(shares)
+
+    def allocated(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            sizes = [S.allocate(int(m), w, s, p, int(at_least)) for m, s, at_least in part[["_m", "_s", "_l"]].itertuples(index=False)]
+            yield part.assign(sizes=sizes)
+
+    named = rows.where("status = 'OK'").select(F.col(n).cast("int").alias("_m"), F.col(strategy).alias("_s"), F.col("_least").alias("_l")).distinct()
+    made = named.mapInPandas(allocated, "_m int, _s string, _l int, sizes array<int>")
+    same = (rows["status"] == "OK") & (rows[n] == made["_m"]) & (rows[strategy] == made["_s"]) & (rows["_least"] == made["_l"])
+    return rows.join(made, same, "left").select(*designs.columns, "status", F.coalesce("sizes", F.array().cast("array<int>")).alias("sizes"))
+
+
 def outcome(n: int | None, margin: float | None, weights: Sequence[float], shares: Sequence[float], confidence: float, strategy: str, configured: int | None = None) -> dict:
     """Sizes of strata and their margin of error, from a sample size or from the margin wanted; or why there are none."""
     least = least_samples(strategy, configured)

@@ -92,11 +92,13 @@ def minimum_rule(spark, d):
     return _designs(spark, d).select("id", D.least_samples_column("strategy", "configured", "manual").alias("least"))
 
 
-@query(f"WITH {_DESIGNS} SELECT id, CASE WHEN n IS NULL THEN 'MARGIN_UNREACHABLE' WHEN n < 5 * ({_LEAST}) THEN 'SAMPLE_TOO_SMALL' ELSE 'OK' END AS status FROM g")
+@query(f"WITH {_DESIGNS}, k AS (SELECT count(DISTINCT c_mktsegment) AS k FROM customer), s AS (SELECT id, n, CASE WHEN n IS NULL THEN 'MARGIN_UNREACHABLE' WHEN n < k * ({_LEAST}) THEN 'SAMPLE_TOO_SMALL' ELSE 'OK' END AS status FROM g, k) SELECT id, status, CASE WHEN status = 'OK' THEN n ELSE 0 END::INT AS total FROM s")
 def allocation_outcomes(spark, d):
-    """Designs over five strata."""
+    """Designs over the market segments, each allocated to them by its strategy: the sizes add up to the sample."""
+    w = weights(spark, d)
     least = D.least_samples_column("strategy", "configured", "manual")
-    return _designs(spark, d).select("id", D.outcome_status("n", 5, least).alias("status"))
+    out = D.outcomes(_designs(spark, d), [x[1] for x in w], [x[2] for x in w], "n", "strategy", least)
+    return out.select("id", "status", F.aggregate("sizes", F.lit(0), lambda a, b: a + b).alias("total"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT c_custkey) AS keys, count(*) = count(DISTINCT c_custkey) AS intact FROM customer")
