@@ -2,9 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
+
+
+def percentiles(df: DataFrame, value: str, shares: Sequence[float], name: str) -> DataFrame:
+    """One row of one array, null without values: the exact percentiles of ``value`` at ``shares``, straight between two ranks.
+
+    Values are counted, parted by range and numbered in their parts; a part's rows before it are a sum of a row a part. Only the
+    values at the wanted ranks meet in one place.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    counts = df.select(F.col(value).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    parts = staged(counts.repartitionByRange(n, "v").withColumn("part", F.spark_partition_id()), "value-counts")
+    sizes = parts.groupBy("part").agg(F.sum("n").alias("n"))
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    to = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    spans = parts.join(F.broadcast(starts), "part").withColumn("to", to).withColumn("from", F.col("to") - F.col("n"))
+    held = lambda r: (F.col("from") <= r) & (r < F.col("to"))
+    places = F.array(*(F.struct(F.lit(i).alias("i"), ((F.col("all") - 1) * F.lit(float(q))).alias("at")) for i, q in enumerate(shares)))
+    wanted = F.explode(F.filter(places, lambda k: held(F.floor(k["at"])) | held(F.ceil(k["at"])))).alias("k")
+    low, high = F.floor("k.at"), F.ceil("k.at")
+    ends = spans.select("v", "from", "to", wanted).groupBy("k.i", "k.at").agg(F.max(F.when(held(low), F.col("v"))).alias("a"), F.max(F.when(held(high), F.col("v"))).alias("b"))
+    between = (F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b")
+    found = ends.select("i", F.when((F.floor("at") == F.ceil("at")) | (F.col("a") == F.col("b")), F.col("a")).otherwise(between).alias("v"))
+    every = F.array_sort(F.collect_list(F.struct("i", "v")))
+    return found.agg(F.when(F.count("*") > 0, F.transform(every, lambda x: x["v"])).alias(name))
+
 
 def matched(source: DataFrame, target: DataFrame, value: str, knots: int = 100) -> DataFrame:
     """``source`` with ``matched``: each value moved to the target's value of the same quantile.
@@ -13,7 +42,7 @@ def matched(source: DataFrame, target: DataFrame, value: str, knots: int = 100)
     row. Values beyond the knots get the end values; masked values stay masked.
     """
     shares = [i / knots for i in range(knots + 1)]
-    row = lambda df, name: df.agg(F.percentile(value, F.array(*map(F.lit, shares))).alias(name))
+    row = lambda df, name: percentiles(df, value, shares, name)
     both = source.crossJoin(F.broadcast(row(source, "_s").crossJoin(row(target, "_t"))))
     below = F.size(F.filter("_s", lambda x: x <= F.col(value)))
     at = F.least(F.greatest(below - 1, F.lit(0)), F.lit(knots - 1))
