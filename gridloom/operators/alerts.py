@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,10 +86,33 @@ def bayesian_alerts(obs: DataFrame, key: str, order: Sequence[str], probability:
     return series.select(key, F.expr(step).alias("s")).select(key, "s.flag", "s.p", F.col("s.since").alias("first_detection"))
 
 
+def _bell(z: float | None) -> float | None:
+    if z is None:
+        return None
+    try:
+        return math.exp(-math.pow(z, 2.0) / 2)
+    except OverflowError:  # of the square
+        return 0.0
+
+
+def bell(z: Column) -> Column:
+    """exp(-z^2 / 2) as the C library rounds it, which SQL engines use. Spark's own differs in the last bit of some values."""
+
+    @F.arrow_udf("double")
+    def run(z: pa.Array) -> pa.Array:
+        return pa.array([_bell(v) for v in z.to_pylist()], pa.float64())
+
+    return run(z)
+
+
 def change_probability(x: Column, mean: Column, std: Column, ratio: float = 1.0) -> Column:
-    """Probability of non-forest of an observation: Gaussians at the mean and four deviations below it, clamped."""
+    """Probability of non-forest of an observation: Gaussians at the mean and four deviations below it, clamped.
+
+    Its log odds are linear in the observation, so that series with rounded values come to even odds exactly: there the last bit
+    of the Gaussians decides whether a suspicion stays.
+    """
     width = 2 * std * ratio
-    density = lambda m: F.exp(-F.pow((x - m) / width, F.lit(2.0)) / 2)
+    density = lambda m: bell((x - m) / width)
     changed, same = density(mean - 4 * std * ratio), density(mean)
     return F.least(F.greatest(changed / F.nullif(changed + same, F.lit(0.0)), F.lit(0.05)), F.lit(0.95))
 
