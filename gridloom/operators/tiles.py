@@ -6,6 +6,7 @@ pixel is sent once, whatever the size of the window. A tile is one group of at m
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -14,7 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
+
 SIDE = 256
+#: Pixels of a strip of rows that distances are found in at once.
+CELLS = 1 << 18
 
 
 def by_tile(df: DataFrame, values: Sequence[str], margin: int, compute: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], out: Sequence[str], side: int = SIDE) -> DataFrame:
@@ -134,51 +139,57 @@ def refined_lee(df: DataFrame, value: str, strong: float | None = None, side: in
 
 def _envelope(x: np.ndarray, d: np.ndarray) -> np.ndarray:
     """For each of ``x``, the least of (x - x')^2 + d(x') over all, by the lower envelope of the parabolas: linear in their number."""
+    some = np.isfinite(d)
+    xs, heights = x[some], (d + x**2)[some].tolist()
     spots, starts = [], []
-    for i in np.flatnonzero(np.isfinite(d)):
+    for i, (place, height) in enumerate(zip(xs.tolist(), heights, strict=True)):
         while spots:
-            j = spots[-1]
-            cross = ((d[i] + x[i] ** 2) - (d[j] + x[j] ** 2)) / (2.0 * (x[i] - x[j]))
+            j, from_, before = spots[-1]
+            cross = (height - before) / (2.0 * (place - from_))
             if cross > starts[-1]:
                 break
             spots.pop()
             starts.pop()
         starts.append(cross if spots else -np.inf)
-        spots.append(i)
+        spots.append((i, place, height))
     if not spots:
         return np.full(len(x), np.nan)
-    best = np.array(spots)[np.searchsorted(np.array(starts), x, side="right") - 1]
-    return (x - x[best]) ** 2 + d[best]
+    best = np.array([s[0] for s in spots])[np.searchsorted(np.array(starts), x, side="right") - 1]
+    return (x - xs[best]) ** 2 + d[some][best]
 
 
 def distance_transform(df: DataFrame, flag: Column) -> DataFrame:
     """Pixels with ``distance``, Euclidean and in pixels, to the nearest flagged one at any distance; masked if none is flagged.
 
     Two passes: along columns by sorted windows, then along rows by the envelope of what these found. Every pixel is shuffled twice,
-    whatever the distances; a group is a row of the grid. Rows are filled out to the extent of the flagged pixels, so that places
-    without a pixel are crossed.
+    whatever the distances; a group is a strip of whole rows of the grid, of about CELLS pixels (one row, where it is wider). Rows are
+    filled out to the extent of the flagged pixels, so that places without a pixel are crossed.
     """
     rows = df.select("x", "y", F.coalesce(flag, F.lit(False)).alias("_f")).groupBy("x", "y").agg(F.max("_f").alias("_f"))
+    rows = staged(rows, "distance-flags")  # several steps read them
     ends = rows.where("_f").agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
     if ends["a"] is None:
         return df.withColumn("distance", F.lit(None).cast("double"))
+    width = rows.agg(F.max("x") - F.min("x") + 1).first()[0]
     filled = rows.select("y").distinct().select(F.explode(F.sequence(*(F.lit(e).cast(dict(rows.dtypes)["x"]) for e in ends))).alias("x"), "y", F.lit(False).alias("_f"))
     grid = rows.unionByName(filled.select("x", "y", "_f")).groupBy("x", "y").agg(F.max("_f").alias("_f"))
     at = F.when(F.col("_f"), F.col("y"))
-    column = Window.partitionBy("x").orderBy("y")
-    up = F.last(at, True).over(column.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(at, True).over(column.rowsBetween(0, Window.unboundedFollowing))
+    # both ways from the start: a frame that runs to the end is computed anew for each of its rows
+    up, down = (F.last(at, True).over(Window.partitionBy("x").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)) for o in (F.asc("y"), F.desc("y")))
     near = grid.select("x", "y", F.least(F.col("y") - up, down - F.col("y")).cast("double").alias("_d"))
 
-    def run(line: pd.DataFrame) -> pd.DataFrame:
-        line = line.sort_values("x")
-        d = line["_d"].to_numpy(float)
-        found = _envelope(line["x"].to_numpy(float), np.where(np.isnan(d), np.inf, d**2))
-        return pd.DataFrame({"x": line["x"], "y": line["y"], "distance": np.sqrt(found)})
+    def run(strip: pa.Table) -> pa.Table:
+        strip = strip.sort_by([("y", "ascending"), ("x", "ascending")])
+        x, y, d = (strip[c].to_numpy() for c in ("x", "y", "_d"))
+        d = np.where(np.isnan(d), np.inf, d**2)
+        cuts = [0, *(np.flatnonzero(np.diff(y)) + 1), len(y)]
+        found = np.concatenate([_envelope(x[a:b].astype(float), d[a:b]) for a, b in itertools.pairwise(cuts)])
+        return pa.table([strip["x"], strip["y"], pa.array(np.sqrt(found), from_pandas=True)], names=["x", "y", "distance"])
 
     kinds = dict(near.dtypes)
-    found = near.groupBy("y").applyInPandas(run, f"x {kinds['x']}, y {kinds['y']}, distance double")
-    return df.join(found.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance"))), ["x", "y"])
+    strips = near.groupBy(F.floor(F.col("y") / max(1, CELLS // int(width))).alias("_strip"))
+    found = strips.applyInArrow(run, f"x {kinds['x']}, y {kinds['y']}, distance double")
+    return df.join(found, ["x", "y"])
 
 
 def slope_aspect(df: DataFrame, height: str, size: float) -> DataFrame:
