@@ -19,31 +19,48 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
+def _unique(df: DataFrame) -> DataFrame:
+    """A side whose keys do not repeat: broadcast if it is small, else hashed in its partition, so that the longer side is not sorted."""
+    few = _small(df)
+    return few if few is not df else df.hint("shuffle_hash")
+
+
 def cover_scenes(rows: DataFrame, area: str, scene: str, cell: str, cloud: str, least_gain: float = 0.0, most: int = 10, least: int = 0, enough: float = 1.0) -> DataFrame:
     """Greedy cover of each area's cells: in turn the scene that adds most coverage, clouded cells counting in part.
 
     ``(area, scene, rank, gain)``. ``rows`` has a row for each cell of each scene (of repeated ones the clearest counts). An area ends
     with ``most`` scenes, when none gains more than ``least_gain``, or when it has ``least`` and is covered to the share ``enough``.
-    Ties go to the smaller scene. Masked clouds add nothing.
+    Ties go to the smaller scene. Masked clouds add nothing. Each round goes over the rows that can still add something.
     """
-    given = rows.select(F.col(area).alias("area"), F.col(scene).alias("scene"), F.col(cell).alias("cell"), (1 - F.col(cloud) / 100).alias("clear")).where("clear is not null")
-    given = staged(given.groupBy("area", "scene", "cell").agg(F.max("clear").alias("clear")), "cover")
-    size = staged(given.groupBy("area").agg(F.count_distinct("cell").alias("n")), "cover-areas")
-    have = staged(given.select("area", "cell").distinct().withColumn("have", F.lit(0.0)), "cover-cells")
-    left, out, open_areas = given, None, size.select("area", "n", F.lit(0.0).alias("covered"))
+    given = rows.select(F.col(area).alias("area"), F.col(scene).alias("scene"), F.col(cell).alias("cell"), (1 - F.col(cloud) / 100).alias("clear")).where("clear is not null and area is not null and cell is not null")
+    # a scene's rows lie together, so that its gains are summed before they are shuffled
+    given = given.repartition("area", "scene").groupBy("area", "scene", "cell").agg(F.max("clear").alias("clear"))
+    left = staged(given.withColumn("have", F.lit(0.0)), "cover")
+    size = staged(left.select("area", "cell").distinct().groupBy("area").agg(F.count("*").alias("n")), "cover-areas")
+    out, cells = None, None
     for rank in range(1, most + 1):
-        gains = left.join(open_areas, "area", "left_semi").join(have, ["area", "cell"]).groupBy("area", "scene").agg(F.sum(F.greatest(F.col("clear") - F.col("have"), F.lit(0.0))).alias("sum"))
-        gains = gains.join(_small(size), "area").select("area", "scene", F.round(F.col("sum") / F.col("n"), 12).alias("gain")).where(F.col("gain") > least_gain)
+        gains = left.groupBy("area", "scene").agg(F.sum(F.greatest(F.col("clear") - F.col("have"), F.lit(0.0))).alias("sum"))
+        gains = gains.join(_unique(size), "area").select("area", "scene", F.round(F.col("sum") / F.col("n"), 12).alias("gain")).where(F.col("gain") > least_gain)
         first = F.min_by(F.struct("gain", "scene"), F.struct(-F.col("gain"), F.col("scene")))
         picks = staged(gains.groupBy("area").agg(first.alias("b")).select("area", F.col("b.scene").alias("scene"), F.lit(rank).alias("rank"), F.col("b.gain").alias("gain")), "cover-picks")
         if picks.isEmpty():
             break
         out = picks if out is None else out.unionByName(picks)
-        taken = left.join(_small(picks.select("area", "scene")), ["area", "scene"]).select("area", "cell", "clear")
-        have = staged(have.join(taken, ["area", "cell"], "left").select("area", "cell", F.greatest("have", F.coalesce("clear", F.lit(0.0))).alias("have")), "cover-cells")
-        left = left.join(_small(picks.select("area", "scene")), ["area", "scene"], "left_anti")
-        covered = have.join(picks.select("area"), "area", "left_semi").groupBy("area").agg(F.avg("have").alias("covered"))
-        open_areas = staged(covered.where(F.lit(rank < least) | (F.col("covered") < enough)), "cover-open")
+        if rank == most:
+            break
+        taken = left.where("clear > have").join(_unique(picks.select("area", "scene")), ["area", "scene"]).select("area", "cell", F.col("clear").alias("now"))
+        taken = staged(taken, "cover-taken")
+        cells = taken if cells is None else cells.unionByName(taken)
+        if least_gain < 0:  # scenes that add nothing are picked as well
+            left = left.join(_unique(picks.select("area", "scene")), ["area", "scene"], "left_anti")
+        if rank >= least:
+            covered = cells.groupBy("area", "cell").agg(F.max("now").alias("now")).groupBy("area").agg(F.sum("now").alias("sum"))
+            full = staged(covered.join(_unique(size), "area").where(F.col("sum") / F.col("n") >= enough).select("area"), "cover-full")
+            left = left.join(_unique(full), "area", "left_anti")
+        left = left.join(_unique(taken), ["area", "cell"], "left").select("area", "scene", "cell", "clear", F.greatest("have", "now").alias("have"))
+        if least_gain >= 0:  # what a cell has never falls: a row that adds nothing now adds nothing later, the picked scene's neither
+            left = left.where("clear > have")
+        left = staged(left, "cover")
     if out is None:
         kinds = dict(given.dtypes)
         return rows.sparkSession.createDataFrame([], f"`{area}` {kinds['area']}, `{scene}` {kinds['scene']}, rank int, gain double")
