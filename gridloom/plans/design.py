@@ -79,12 +79,15 @@ _LEAST = "CASE WHEN strategy = 'EQUAL' OR manual OR configured IS NULL THEN 2 EL
 
 
 def _designs(spark, d):
-    """Each order stands for a design: its status for the strategy, its priority for the configured minimum, its price for the size."""
+    """Each order stands for a design: its status for the strategy, its priority for the configured minimum, its price for the size.
+
+    Halves go to the even size, as the cast in the SQL has it.
+    """
     o = table(spark, d, "orders")
     key = F.col("o_orderkey")
     strategy = F.when(F.col("o_orderstatus") == "F", "EQUAL").when(F.col("o_orderstatus") == "O", "OPTIMAL").otherwise("PROPORTIONAL")
     configured = F.when(key % 4 > 0, F.substring("o_orderpriority", 1, 1).cast("int") * 2 - 1)
-    return o.select(key.alias("id"), strategy.alias("strategy"), configured.alias("configured"), (key % 3 == 0).alias("manual"), F.when(key % 5 > 0, F.round(F.col("o_totalprice") / 5000).cast("int")).alias("n"))
+    return o.select(key.alias("id"), strategy.alias("strategy"), configured.alias("configured"), (key % 3 == 0).alias("manual"), F.when(key % 5 > 0, F.rint(F.col("o_totalprice") / 5000).cast("int")).alias("n"))
 
 
 @query(f"WITH {_DESIGNS} SELECT id, {_LEAST} AS least FROM g")
